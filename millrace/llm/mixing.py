@@ -61,7 +61,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     budget, weight = F.sum("source_size").over(everyone) * share, F.sum("w").over(everyone)
     used = leveled.withColumns({"water": (budget - F.coalesce(F.sum(cap).over(fullest), F.lit(0.0))) / (weight - F.coalesce(F.sum("w").over(fullest), F.lit(0.0)))})
     full = used.withColumn("full", F.col("level") <= F.col("water"))
-    line = F.min(F.when(~F.col("full"), F.col("water"))).over(everyone)
+    # the water stands where it does for the first source that it does not fill
+    line = F.min(F.when(~F.col("full"), F.struct("level", "sid", "water"))).over(everyone)["water"]
     return full.withColumn("line", line).select("sid", "source", "source_size", F.when(F.col("full"), cap).otherwise(F.least(cap, F.col("line") * F.col("w"))).cast("double").alias("target"))
 
 
