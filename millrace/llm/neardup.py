@@ -7,15 +7,16 @@ keeps the least (round, hash). The last T rounds guarantee that every bin
 fills; usually two or three rounds do. Bins of two sets agree with a
 probability equal to their similarity, with the concentration bounds of T
 independent samples. Bands of R bins are the keys of candidate buckets: at
-similarity 0.8 a pair shares none of the bands with a probability under 1e-7.
+similarity 0.8 a pair shares none of the bands with a probability of 2e-6.
 
 Documents with equal sets are one class, represented by the smallest id, so a
 group of copies costs one row each. Within a bucket every member is compared
 with a hub (the smallest id), not with every other member. A pair without a
-link to its hub is looked at again: as long as a bucket holds members of
-different components, the minor side is compared with all others there. Thus no
-link that joins two components is lost, and no group is expanded into all
-pairs. Comparisons use whole shingle sets.
+link to its hub is looked at again: where a bucket still holds members of
+different components, blocks of its members compare their sketches, and pairs
+over two components whose bins agree often enough (a tail of 1e-6 at similarity
+0.8) are verified too. Links within a component would change nothing. Links are
+only made by comparing whole shingle sets.
 
 Nulls, empty and blank texts have no shingles and link with nothing. A null
 doc_id links with nothing and is kept. Rows that repeat a doc_id are one node
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORDS, PERCENT = 4, 80
-BINS, BAND_ROWS = 128, 4
+BINS, BAND_ROWS = 392, 7
+#: Bins that must agree, of BINS, for a pair to be verified in the second look: five deviations under 0.8.
+AGREE = 274
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 512
 #: Comparisons that one task group holds at once, beside the hub's set.
 MEMBERS = 128
 
@@ -91,18 +96,24 @@ def bands(s: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of each row; set_key and bands are null for an empty set."""
+    """(doc_id, n_shingles, set_key, bands, low) of each row; the last three are null for an empty set.
+
+    low holds the lowest byte of each bin.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
                 h = shingles(t, words)
-                rows.append((len(h), xxhash.xxh128_digest(h.tobytes()), bands(sketch(h))) if len(h) else (0, None, None))
-            n, key, band = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "set_key": key, "bands": band})
+                if len(h):
+                    k = sketch(h)
+                    rows.append((len(h), xxhash.xxh128_digest(h.tobytes()), bands(k), k.astype(np.uint8).tobytes()))
+                else:
+                    rows.append((0, None, None, None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "low"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "bands", "low"]]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, low binary")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -133,10 +144,50 @@ def overlaps(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame
                     out.add(i)
         return pd.DataFrame({"a": [hub] * len(out), "b": sorted(out)}, dtype="int64")
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needs, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needs.hint("merge"), "doc_id")
     return texts.mapInPandas(sets, "doc_id long, hub long, part int, hashes binary").groupBy("hub", "part").applyInPandas(compare, "a long, b long")
 
 
+def likely(members: DataFrame) -> DataFrame:
+    """(hub, node) of the pairs of different components in one bucket whose sketches agree often enough.
+
+    members: (band, node, n, component, low). A bucket is cut into blocks of
+    about BLOCK members, and every two blocks meet in one place, so a large
+    bucket spreads over many tasks.
+    """
+    counts = written(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.join(counts, "band").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", other)
+    keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component", "low")
+
+    def pairs(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        low = np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), -1)
+        node, n, c = (g[k].to_numpy() for k in ("node", "n", "component"))
+        one, two = g["i"].iloc[0] != g["j"].iloc[0], g["mine"].to_numpy() == g["i"].iloc[0]
+        for k in np.flatnonzero(two) if one else range(len(g) - 1):
+            rest = np.flatnonzero(~two) if one else np.arange(k + 1, len(g))
+            rest = rest[(c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * PERCENT)]
+            if len(rest) and len(rest := rest[(low[rest] == low[k]).sum(1) >= AGREE]):
+                yield np.minimum(node[k], node[rest]), np.maximum(node[k], node[rest])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+
+        def done() -> Iterator[pd.DataFrame]:
+            if kept and (found := list(pairs(pd.concat(kept, ignore_index=True)))):
+                yield pd.DataFrame({"hub": np.concatenate([a for a, _ in found]), "node": np.concatenate([b for _, b in found])})
+
+        for pdf in batches:  # sorted by place; a place's rows may go on in the next batch
+            for key, g in pdf.groupby(["band", "i", "j"], sort=False):
+                if kept and tuple(kept[0][["band", "i", "j"]].iloc[0]) != tuple(key):
+                    yield from done()
+                    kept.clear()
+                kept.append(g)
+        yield from done()
+
+    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "hub long, node long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node that has an edge (a, b); component is the least node reachable.
 
@@ -176,12 +227,9 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     label = written(components(edges), "labels")
     labelled = crowded.join(label, "node", "left").select("band", "node", "n", "hub", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    left = written(labelled.join(written(mixed.select("band"), "mixed"), "band"), "left")
-    hubs = left.where("node = hub").select("band", F.col("component").alias("main"))
-    # every pair over two components of one bucket has a member outside the hub's component
-    minor = left.join(written(hubs, "hubs"), "band").where("component != main").select("band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    rest = left.join(written(minor, "minor"), "band").where("component != x_c and x != hub and node != hub").where(fits(F.col("n"), F.col("x_n")))
-    rest = written(rest.select(F.col("x").alias("hub"), "node").distinct(), "rest")
+    left = labelled.join(written(mixed.select("band"), "mixed"), "band")
+    lows = one.select(F.col("doc_id").alias("node"), "low").dropDuplicates(["node"])
+    rest = written(likely(left.join(lows, "node").select("band", "node", "n", "component", "low")), "rest")
     if not rest.isEmpty():
         label = written(components(overlaps(docs, rest, words).union(edges)), "labels")
     out = plain.join(label, plain["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
