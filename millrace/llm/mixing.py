@@ -105,7 +105,8 @@ def mix(docs: DataFrame) -> DataFrame:
     start = F.col("end") - F.col("size")
     spans = placed.select("doc_id", "size", "sid", "source_size", "target", "unit", "end", F.explode(F.sequence(F.floor(start / F.col("unit")), F.floor((F.col("end") - 1) / F.col("unit")))).alias("block"))
     inside = F.least("end", (F.col("block") + 1) * F.col("unit")) - F.greatest(start, F.col("block") * F.col("unit"))
-    met = spans.join(copies, ["sid", "block"], "left").select("sid", "end", "doc_id", "size", "source_size", "target", (inside * F.coalesce("copies", F.lit(0))).alias("words"))
+    # the number of blocks follows the input, though Spark estimates it from the cells: never a broadcast
+    met = spans.join(copies.hint("merge"), ["sid", "block"], "left").select("sid", "end", "doc_id", "size", "source_size", "target", (inside * F.coalesce("copies", F.lit(0))).alias("words"))
     taken = met.groupBy("sid", "end", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*out).union(dealt.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
