@@ -46,7 +46,7 @@ def default_model() -> str:
 class Encoder:
     """Encodes texts with the vocabulary of a model file."""
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         m, size = self.model, self.model.get_piece_size()
         self.ids: dict[str, int] = {}
@@ -71,7 +71,7 @@ class Encoder:
         self.shorter = {i: next((self.real[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.real), -1) for p, i in self.real.items()}
         self.length = {i: len(p) for p, i in self.real.items()}
         self.stable: dict[int, bool] = {}
-        self.most, self.known = remembered, {}
+        self.most, self.known, self.older = remembered, {}, {}
 
     def _merged(self, text: str) -> list[str]:
         """The text merged pair by pair, best score first, then leftmost."""
@@ -104,7 +104,7 @@ class Encoder:
         return [p for p in parts if p]
 
     def _compatible(self, a: int, b: int) -> bool:
-        if len(self.stable) > 1_000_000:
+        if len(self.stable) > 400_000:
             self.stable.clear()
         p, q = self.pieces[a], self.pieces[b]
         self.stable[a << 32 | b] = ok = self._merged(p + q) == [p, q]
@@ -150,7 +150,7 @@ class Encoder:
 
     def word(self, text: str) -> bytes:
         """Ids, 32 bits each, of a word with the marks before it, or of a part of a word."""
-        got = self.known.get(text)
+        got = self.known.get(text) or self.older.get(text)
         if got is None:
             ids = None
             if 1 < len(text) <= 64 and text[:2] != MARK * 2 and self.single.issuperset(text):
@@ -158,10 +158,10 @@ class Encoder:
             if ids is None:
                 ids = [i for p in self._merged(text) for i in self._plain(p)]
             got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(text) <= 64:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[text] = got
+        if len(text) <= 64:
+            if len(self.known) >= self.most:  # words that weren't met since the last time go
+                self.known, self.older = {}, self.known
+            self.known[text] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -173,8 +173,7 @@ class Encoder:
         parts = []
         for line in re.split(f"([{self.breaks}])", text) if self.breaks else [text]:
             parts += _WORDS.findall(line)
-        known = self.known
-        return ends[:4] + b"".join([known.get(w) or self.word(w) for w in parts]) + ends[4:]
+        return ends[:4] + b"".join([self.known.get(w) or self.word(w) for w in parts]) + ends[4:]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids as encode() gives them."""
