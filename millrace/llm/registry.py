@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import warc
+from .extraction import op5_extraction
+from .fingerprints import op4_fingerprints
+from .licenses import op8_licenses
 from .mixing import op6_mixing
 from .neardup import op9_neardup
+from .neighbours import op7_neighbours
 from .pieces import op3_pieces
 from .quality import op2_quality
 from .toxicity import op10_toxicity
+from .warc import op1_warc
 
 
 def pipeline(spark, sf_dir):
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_pieces, op6_mixing, op9_neardup, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_pieces, op4_fingerprints, op5_extraction, op6_mixing, op7_neighbours, op8_licenses, op9_neardup, op10_toxicity, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE_SQL}
