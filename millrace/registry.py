@@ -1,7 +1,6 @@
 """All queries outside `llm` by name, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from .queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "chunk_search"
+FLAGSHIP = "vec_topk"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
