@@ -81,7 +81,7 @@ def upsert_documents(spark, sf):
 
 
 @query("""SELECT l_orderkey, sum(size)::BIGINT AS bytes, sum(CASE WHEN before_end <> pos THEN 1 ELSE 0 END)::BIGINT AS broken FROM (
-  SELECT *, lag(pos + size) OVER (PARTITION BY l_orderkey ORDER BY pos) AS before_end FROM (SELECT l_orderkey, l_linenumber * 10 AS pos, CASE WHEN l_partkey % 9 = 0 THEN 9 ELSE 10 END AS size FROM lineitem)) GROUP BY 1""")
+  SELECT *, lag(pos + size) OVER (PARTITION BY l_orderkey ORDER BY pos, size) AS before_end FROM (SELECT l_orderkey, l_linenumber * 10 AS pos, CASE WHEN l_partkey % 9 = 0 THEN 9 ELSE 10 END AS size FROM lineitem)) GROUP BY 1""")
 def contiguous_parts(spark, sf):
     l = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).alias("pos"), F.when(F.col("l_partkey") % 9 == 0, 9).otherwise(10).alias("size"))
     return tables.contiguous(l, "l_orderkey", "pos", "size")

@@ -31,6 +31,6 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def contiguous(parts: DataFrame, key: str, order: str, size: str) -> DataFrame:
     """(key, bytes, broken): received parts in order, and how many don't begin where the one before ends."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(key).orderBy(order, size)
     at = parts.withColumn("_ends", F.lag(F.col(order) + F.col(size)).over(w))
     return at.groupBy(key).agg(F.sum(size).alias("bytes"), F.sum(F.when(F.col("_ends") != F.col(order), 1).otherwise(0)).cast("long").alias("broken"))
