@@ -106,15 +106,22 @@ def _matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
 
 
-def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows for a query: by matrix product first, then the scores of those near the edge summed row by row."""
-    rough = x @ q
-    rough = np.where(ids == own, -np.inf, rough)
-    edge = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
-    near = np.flatnonzero((rough >= edge - 1e-9 * (1 + abs(edge))) & (ids != own)) if np.isfinite(edge) else np.flatnonzero(ids != own)
-    score = (x[near] * q).sum(1)
-    order = np.lexsort((ids[near], -score))[:k]
-    return ids[near][order], score[order]
+def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, row ids, scores) of each query's k best rows, some queries at a time; ties to the smaller id.
+
+    Every score is summed in the same order, so equal vectors have equal scores.
+    """
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    step = max(1, 1_000_000 // x.size)
+    for at in range(0, len(q), step):
+        score = (x[None, :, :] * q[at : at + step, None, :]).sum(2)
+        mine = own[at : at + step, None]
+        score[ids[None, :] == mine] = -np.inf
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(score, top, 1)
+        fine = best > -np.inf
+        yield np.broadcast_to(mine, top.shape)[fine], ids[top][fine], best[fine]
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = RECALL) -> DataFrame:
@@ -176,13 +183,9 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
     right = walked.join(F.broadcast(pieces), "leaf").withColumn("a", part("query_id", "asks")).withColumn("r", upto("rows")).select("leaf", "r", "a", "query_id", "v")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            m, ids = _matrix(x["v"].tolist()), x["vec_id"].to_numpy()
-            for i, v in zip(y["query_id"], y["v"], strict=True):
-                got, score = _best(m, ids, np.frombuffer(v, "<f8"), int(i), k)
-                out.append(pd.DataFrame({"query_id": int(i), "vec_id": got, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        found = list(_best(_matrix(x["v"].tolist()), x["vec_id"].to_numpy(), _matrix(y["v"].tolist()), y["query_id"].to_numpy(), k)) if len(x) and len(y) else []
+        query, row, score = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"query_id": query, "vec_id": row, "score": score})
 
     keys = ["leaf", "r", "a"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
