@@ -1,5 +1,6 @@
 """All queries outside `llm` by name, with the SQL that gives the same rows."""
 
+from . import more_queries  # noqa: F401 - adds its queries
 from .queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "vec_topk"

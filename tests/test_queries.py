@@ -1,15 +1,19 @@
 """Every query with SQL gives DuckDB's rows."""
 
 import math
+import re
 from collections import Counter
 from datetime import datetime
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.functions import cron
+from millrace.functions.chunks import chunks
 from millrace.plans.guard import guarded, refusal
-from millrace.queries import ORACLE_SQL, QUERIES
+from millrace.registry import ORACLE_SQL, QUERIES
 from millrace.streaming import throttle
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +70,44 @@ def test_guard(spark):
         assert refusal(spark, bad)
     with pytest.raises(PermissionError):
         guarded(spark, "DROP VIEW five")
+
+
+@pytest.mark.parametrize("schedule, at, want", [
+    ("5/20 * * * *", "2024-03-04 08:06:00", "2024-03-04 08:25:00"),
+    ("0 8-14/2 * * *", "2024-03-04 09:00:00", "2024-03-04 10:00:00"),
+    ("0 0 29 2 *", "2024-02-29 00:00:30", "2028-02-29 00:00:00"),
+    ("59 23 31 12 *", "2024-12-31 23:58:59", "2024-12-31 23:59:00"),
+    ("0 12 13 * 5", "2024-09-12 12:00:00", "2024-09-13 12:00:00"),
+    ("0 12 13 * 5", "2024-09-13 12:00:00", "2024-09-20 12:00:00"),
+    ("0 0 30 2 *", "2024-01-01 00:00:00", None),
+])
+def test_schedule(spark, schedule, at, want):
+    row = cron.next_runs(spark.createDataFrame([(at,)], "at string").selectExpr("cast(at as timestamp) as at"), "at", schedule).selectExpr("cast(next_run as string) as n").first()
+    assert row["n"] == want
+
+
+def test_bad_fields():
+    for bad in ("60", "5-1", "*/0", "?", "L"):
+        with pytest.raises(ValueError):
+            cron.field(bad, 0, 59)
+
+
+def packed(text, target, most):
+    units = [p[i : i + most] for p in re.split(r"\n[ \t]*\n", text or "") if p.strip(" ") for i in range(0, len(p), most)]
+    out = []
+    for u in units:
+        if out and len(out[-1]) + 2 + len(u) <= target:
+            out[-1] += "\n\n" + u
+        else:
+            out.append(u)
+    return out
+
+
+def test_chunks(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {}
+    for r in QUERIES["document_chunks"](spark, SF).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    assert got == {i: c for i, t in docs.items() if (c := packed(t, 1200, 2000))}
+    small = spark.createDataFrame([(0, None), (1, ""), (2, " \n\n "), (3, "a\n\nb\n \nc" + "d" * 9)], "i long, t string")
+    assert [r["c"] for r in small.select("i", chunks(F.col("t"), 4, 5).alias("c")).orderBy("i").collect()] == [None, [], [], ["a\n\nb", "cdddd", "ddddd"]]
