@@ -120,6 +120,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents in as many copies (0, 1 or 2) as the mix takes of them, to the nearest; those without an id share one number of copies."""
     copies = mix(docs).groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0")
     # the copies follow the input, so they are dealt by id at every size; hashed, as sorting would move whole texts
-    copies = written(copies.withColumnRenamed("doc_id", "_mixed"), "copies").hint("shuffle_hash")
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mixed"])).drop("_mixed")
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    copies = written(copies.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")), "copies").hint("shuffle_hash")
+    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
+    return met.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

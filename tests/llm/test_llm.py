@@ -1,5 +1,6 @@
 """The ten operators on small hand-made tables, against brute force where SQL can't say the rows."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -112,6 +113,22 @@ def test_extraction():
     extraction.extract("<div><p>" * 500 + "x" * 100_000, model)
 
 
+def test_mixing_stage(spark):
+    rows = [(i if i % 5 else None, "w " * (i % 7 + 1), "ab"[i % 2] if i % 9 else None, i) for i in range(200)] + [(None, None, None, None), (7, "", "a", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    got = mixing.stage(spark, frame, "")
+    assert got.columns == frame.columns
+    taken = {}
+    for r in mixing.mix(frame).collect():
+        words, size = taken.get(r["doc_id"], (0, 0))
+        taken[r["doc_id"]] = words + r["taken"], size + r["size"]
+    copies = {k: math.floor(w / n + 0.5) for k, (w, n) in taken.items() if n}
+    want = Counter({r: c for r in rows if (c := copies.get(r[0], 0))})
+    assert want[(None, "w w w w w w ", "b", 5)] > 0
+    assert Counter(map(tuple, got.collect())) == want
+    assert mixing.stage(spark, frame.limit(0), "").count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), ["a", "b", "c", None, ""][rng.randrange(5)]) for i in range(400)] + [(7, "w w", "a"), (7, "w w", "a"), (900, None, "z"), (901, "solo", "y")]
