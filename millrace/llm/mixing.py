@@ -4,17 +4,23 @@ Sources share a budget of words by weight; no target passes twice its source's
 size, and what is over is shared again by weight. Each source's words, in
 seeded order, are one stream cut into blocks of equally many words. Blocks are
 the seats: sources get them by the highest quotients target / (2k - 1), then each
-source's seats are dealt to its shards in the same way. Within a shard the
-seeded order of blocks decides which are taken once more than the others. A
-document's taken words are those of its blocks, counted once per copy, so at
-most twice its size.
+source's seats are dealt to its shards in the same way. Within a shard a seeded
+order decides which blocks are taken once more than the others: that of the
+documents, or for op6_mixing one of the blocks themselves. A document's taken
+words are those of its blocks, counted once per copy, so at most twice its size.
+
+The stage needs whole documents. In the order of documents all of a shard's but
+one are taken a whole number of times, up to blocks that reach over a document's
+end, so what rounding to whole copies adds or drops is half a document a shard
+at most, on either side.
 
 The seats are found without going through them one by one: two divisors bound
 each party's seats from below and above, and only the few between are ranked.
 
 Sources with few blocks use blocks of one word, so their rounding stays small.
-A source's shards number the square root of all rows, so neither one shard's
-rows nor one source's shards grow with all rows.
+A source's shards number a quarter of the square root of its rows, or for
+op6_mixing the square root of all rows, so neither one shard's rows nor one
+source's shards grow with all rows.
 
 A null text has size 0. A null source is a source, ordered last; "" is another.
 Repeated rows are mixed as separate rows. Extra columns are ignored.
@@ -71,12 +77,15 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of docs."""
+def mix(docs: DataFrame, scattered: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of docs; scattered draws single blocks, not documents, within a shard."""
     sizes = written(sized(docs), "sizes")
-    rows = sizes.count()
-    shards = max(1, int(rows**0.5))
-    per_source = written(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    counted = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    root = F.sqrt(F.sum("rows").over(Window.partitionBy())) if scattered else F.sqrt("rows") / 4
+    root = F.greatest(F.floor(root), F.lit(1)).cast("int")
+    shards = counted.select(F.col("source").alias("_source"), root.alias("shards"))
+    per_source = targets(counted.select("source", "source_size"))
+    per_source = written(per_source.join(shards, per_source["source"].eqNullSafe(shards["_source"])).drop("_source"), "targets")
     budget, sources = per_source.agg(F.sum("target"), F.count("*")).first()
     block = max(1, min(BLOCK, int((budget or 0) // (max(1, sources) * 64 * FEW))))
     per_source = per_source.withColumn("unit", F.when(F.col("source_size") < FEW * block, 1).otherwise(block).cast("long"))
@@ -85,7 +94,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     hashed = lambda *c: F.xxhash64(F.lit(SEED), *c)
     same = sizes["source"].eqNullSafe(quotas["source"])
-    dealt = written(sizes.join(quotas.select("sid", "source", "source_size", "target", "unit"), same).select("doc_id", "size", "sid", "source_size", "target", "unit", F.pmod(hashed("doc_id"), F.lit(shards)).cast("int").alias("shard")), "dealt")
+    dealt = written(sizes.join(quotas.select("sid", "source", "source_size", "target", "unit", "shards"), same).select("doc_id", "size", "sid", "source_size", "target", "unit", F.pmod(hashed("doc_id"), "shards").cast("int").alias("shard")), "dealt")
     full = dealt.where("size > 0")
 
     # where each shard's words lie in its source's stream, and the blocks that begin there
@@ -97,7 +106,8 @@ def mix(docs: DataFrame) -> DataFrame:
     cells = written(apportion(cells, ["sid"], ["shard"], "blocks", "seats"), "cells")
 
     blocks = cells.where("blocks > 0").select("sid", "shard", "quota", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"))
-    turn = F.row_number().over(Window.partitionBy("sid", "shard").orderBy(hashed("sid", "block"), "block"))
+    # blocks by number are in the seeded order of documents
+    turn = F.row_number().over(Window.partitionBy("sid", "shard").orderBy(*([hashed("sid", "block")] if scattered else []), "block"))
     copies = blocks.select("sid", "block", (F.floor(F.col("quota") / F.col("blocks")) + (turn <= F.col("quota") % F.col("blocks")).cast("long")).alias("copies")).where("copies > 0")
 
     order = Window.partitionBy("sid", "shard").orderBy(hashed("doc_id", F.lit("order")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -113,11 +123,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), scattered=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents in as many copies (0, 1 or 2) as the mix takes of them, to the nearest; those without an id share one number of copies."""
+    """documents in as many copies (0, 1 or 2) as the mix, drawn by documents, takes of them, to the nearest; those without an id share one number of copies."""
     copies = mix(docs).groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0")
     # the copies follow the input, so they are dealt by id at every size; hashed, as sorting would move whole texts
     copies = written(copies.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")), "copies").hint("shuffle_hash")

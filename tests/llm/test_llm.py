@@ -163,6 +163,24 @@ def test_mixing(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_mixing_stage_keeps_targets_of_long_documents(spark):
+    # the sources' ratios of target to size are near 2, 0.83 and 1.67
+    rows = [(i, " ".join(["w"] * (640 + i % 7)), "abc"[i % 3]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, target = Counter(), {}
+    for r in mixing.stage(spark, frame, "").collect():
+        got[r["source"]] += len(r["text"].split())
+    source = {i: s for i, _, s in rows}
+    for scattered in (False, True):
+        taken = Counter()
+        for r in mixing.mix(frame, scattered).collect():
+            taken[source[r["doc_id"]]] += r["taken"]
+            target[source[r["doc_id"]]] = r["target"]
+        assert all(abs(taken[s] - target[s]) < 0.005 * target[s] for s in target)
+    for s in "abc":
+        assert abs(got[s] - target[s]) < 0.02 * target[s], (s, got[s], target[s])
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53, "b": 24, "c": 23, "d": 1, "e": 0}
     frame = spark.createDataFrame([(1, k, v, 17) for k, v in votes.items()], "g int, k string, v long, seats long")
