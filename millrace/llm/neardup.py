@@ -70,17 +70,22 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """The fast similarity sketch of a non-empty set of hashes: for each bin the least round and hash."""
+    """The fast similarity sketch of a non-empty set of hashes: for each bin the least round and hash.
+
+    A key's upper bits hold every round up to 2 * bins - 1; an unfilled bin's, all ones, are more than any round.
+    """
     best = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     at, step = 0, max(1, 512 // len(h))
+    bits = (2 * bins).bit_length()
+    low, up = np.uint64(bits), np.uint64(64 - bits)
     with np.errstate(over="ignore"):
         while at < 2 * bins:
             rounds = np.arange(at, min(2 * bins, at + step), dtype=np.uint64)[:, None]
             u = _mix(_mix(h[None, :] ^ (rounds + np.uint64(1)) * _M))
             where = np.where(rounds < bins, u % np.uint64(bins), rounds - np.uint64(bins) if at + step > bins else 0)
-            np.minimum.at(best, where.astype(np.intp).ravel(), ((rounds << np.uint64(55)) | (u >> np.uint64(9))).ravel())
+            np.minimum.at(best, where.astype(np.intp).ravel(), ((rounds << up) | (u >> low)).ravel())
             at += step
-            if (best >> np.uint64(55)).max() < min(at, 2 * bins):
+            if (best >> up).max() < min(at, 2 * bins):
                 break
     return best
 

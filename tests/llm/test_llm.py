@@ -251,6 +251,29 @@ def test_sketch_agrees_with_similarity():
     assert (neardup.sketch(a[:1]) == neardup.sketch(a[:1])).all()
 
 
+def test_sketch_of_few_shingles():
+    rng = np.random.default_rng(6)
+    unfilled, bits = np.iinfo(np.uint64).max, (2 * neardup.BINS).bit_length()
+    for n in range(1, 13):
+        for _ in range(20):
+            k = neardup.sketch(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)))
+            assert (k != unfilled).all() and (k >> np.uint64(64 - bits)).max() < 2 * neardup.BINS
+    for n in (5, 6):
+        agree = []
+        for _ in range(300):
+            h = rng.integers(0, 2**63, n).astype(np.uint64)
+            a, b = neardup.sketch(np.unique(h)), neardup.sketch(np.unique(h[1:]))
+            agree.append((a.astype(np.uint8) == b.astype(np.uint8)).sum())
+        assert abs(np.mean(agree) / neardup.BINS - (n - 1) / n) < 0.01 and min(agree) >= neardup.AGREE
+
+
+def test_neardup_of_short_variants(spark):
+    # a variant has one word more than its stem, so it is at 4/5 with the stem and at 4/6 with the other variants, and the stem comes last
+    texts = [f"a{b} b{b} c{b} d{b} e{b} f{b} g{b}" + (f" x{i}" if i < 30 else "") for b in range(8) for i in range(31)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(docs(spark, texts)).collect()}
+    assert got == {i: i // 31 * 31 for i in range(len(texts))}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(edges).collect()}
