@@ -19,7 +19,8 @@ over two components whose bins agree often enough (a tail of 1e-6 at similarity
 only made by comparing whole shingle sets.
 
 Nulls, empty and blank texts have no shingles and link with nothing. A null
-doc_id links with nothing and is kept. Rows that repeat a doc_id are one node
+doc_id links with nothing and is kept. The stage takes shingles of five words;
+four are op9_neardup's own. Rows that repeat a doc_id are one node
 of the graph, each with the set size of its own text. Extra columns are allowed.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-WORDS, PERCENT = 4, 80
+WORDS, STAGE_WORDS, PERCENT = 4, 5, 80
 BINS, BAND_ROWS = 392, 7
 #: Bins that must agree, of BINS, for a pair to be verified in the second look: five deviations under 0.8.
 AGREE = 274
@@ -247,5 +248,5 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with the first document of each class alone."""
-    gone = written(classes(docs).where(~F.col("kept")).select("doc_id"), "gone")
+    gone = written(classes(docs, STAGE_WORDS).where(~F.col("kept")).select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -274,6 +274,14 @@ def test_neardup_of_short_variants(spark):
     assert got == {i: i // 31 * 31 for i in range(len(texts))}
 
 
+def test_neardup_stage_takes_five_words(spark):
+    # one word changed in the middle: of 44 words 37 of 45 shingles of four stay, 35 of 45 of five; of 60 words 51 of 61 of five
+    texts = [" ".join(f"{n}w{i}" if i != 20 or not k else "changed" for i in range(n)) for n in (44, 60) for k in (0, 1)]
+    frame = docs(spark, texts)
+    assert {r["doc_id"] for r in neardup.stage(spark, frame, "").collect()} == {0, 1, 2}
+    assert {r["doc_id"] for r in neardup.classes(frame).where("kept").collect()} == {0, 2}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(edges).collect()}
