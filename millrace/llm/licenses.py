@@ -1,8 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of the document, a template a set of words. A block meets a
-template if it has at least CONTAINMENT of the template's words. Words are
-ordered by how many blocks of all documents have them, rarest first. Filters:
+A block is a line of the document with as many of the words after it as the
+longest template has but one, so a template that begins in a line is in its
+block however it is wrapped. A template is a set of words. A block meets a
+template if it has at least CONTAINMENT of the template's words. A template
+that is a base phrase is found across lines as that phrase; as a template it is
+looked for in the line alone. Words are ordered by how many lines of all
+documents have them, rarest first; any order gives the same result. Filters:
 
 - prefix: of a template's words, those that come first, as many as may be missed
   and one more; a block without any of them can't meet the template;
@@ -71,8 +75,14 @@ def _strong(templates: dict[str, str]) -> str:
     return r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(found) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
 
+def _block(more: int) -> str:
+    """A pattern that finds each line with up to `more` words after it as group 1; it is empty for lines without words."""
+    letter, other = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    return rf"(?md)^(?=([\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+{letter}[^\n]*+(?:{other}++{letter}++){{0,{more}}}+|))"
+
+
 def frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict[str, int]:
-    """How many blocks of all documents have each template word; as many rows as there are template words."""
+    """How many lines of all documents have each template word; as many rows as there are template words."""
     known = sorted({w for t in templates.values() for w in t.split()})
     lines = docs.select(F.explode(F.split(lowered(F.col("text")), "\n")).alias("line")).where(F.col("line").rlike(_strong(templates)))
     counted = lines.select(F.explode(F.array_intersect(words(F.col("line")), _literal(known))).alias("word")).groupBy("word").count()
@@ -94,23 +104,26 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment:
     starters = sorted({w for _, _, _, prefix in plan for w in prefix})
     prefix_pattern = _strong(dict(enumerate(starters)))
 
-    def blocks(line: Column, number: Column) -> Column:
+    def blocks(block: Column, number: Column) -> Column:
+        line = words(F.substring_index(block, "\n", 1))
+
         def met(own: Column) -> Column:
             def one(label: str, ordered: list[str], need: int, prefix: list[str]) -> Column:
                 first = F.array_position(F.transform(_literal(prefix), lambda w: F.array_contains(own, w)), True)
-                shared = F.size(F.array_intersect(own, _literal(ordered)))
+                shared = F.size(F.array_intersect(line if templates[label] in PHRASES.values() else own, _literal(ordered)))
                 passes = (F.size(own) >= need) & (first > 0) & (len(ordered) - first + 1 >= need)
                 return F.when(passes & (shared >= need), F.struct(number.cast("int").alias("line"), F.lit(label).alias("template"), (shared / len(ordered)).alias("containment")))
 
             return F.array_compact(F.array(*[one(*p) for p in plan]))
 
-        return F.element_at(F.transform(F.array(F.array_distinct(words(line))), met), 1)
+        return F.element_at(F.transform(F.array(F.array_distinct(words(block))), met), 1)
 
     base = docs.withColumn("_low", lowered(F.col("text"))).withColumn("words", words(F.col("_low")))
-    # lines that hold a word of some template's prefix; the others can't meet any
-    numbered = F.transform(F.split("_low", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    likely = F.filter(numbered, lambda x: x["line"].rlike(prefix_pattern))
-    found = F.flatten(F.transform(likely, lambda x: blocks(x["line"], x["i"])))
+    # blocks that hold a word of some template's prefix; the others can't meet any
+    longest = max((len(t.split()) for t in templates.values()), default=1)
+    numbered = F.transform(F.regexp_extract_all("_low", F.lit(_block(longest - 1)), F.lit(1)), lambda block, i: F.struct(i.alias("i"), block.alias("block")))
+    likely = F.filter(numbered, lambda x: x["block"].rlike(prefix_pattern))
+    found = F.flatten(F.transform(likely, lambda x: blocks(x["block"], x["i"])))
     none = F.array().cast("array<struct<line:int,template:string,containment:double>>")
     base = base.withColumn("blocks", F.when(F.col("_low").rlike(prefix_pattern), found).otherwise(none))
 

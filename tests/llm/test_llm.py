@@ -221,6 +221,16 @@ def test_licenses(spark):
     assert got[5][2] == [] and got[6][1] == [(1, "gpl")]
 
 
+def test_licenses_wrapped(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n{}modification, are permitted provided that"
+    texts = [bsd.format(""), bsd.format(" * ").replace("\n", "\r\n"), bsd.format("\n# \n# ")]
+    texts += ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen; licensed\nunder the Apache\n\nLicense, Version 2.0\n"]
+    texts += ["\n\nThis work is licensed under the GNU General\nPublic License, version 3", "redistribution and use in source\n" + "x " * 14 + "\nand binary forms with or without modification are permitted"]
+    got = {r["doc_id"]: {(b["line"], b["template"]) for b in r["blocks"]} for r in licenses.scanned(docs(spark, texts)).collect()}
+    assert [{t for _, t in got[i]} for i in range(6)] == [{"bsd"}, {"bsd"}, {"bsd"}, {"apache-2.0"}, {"gpl-3.0"}, set()]
+    assert (0, "bsd") in got[0] and (2, "gpl-3.0") in got[4]
+
+
 def test_neardup_equals_brute_force(spark, odd):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
