@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where it is unset, as in local tests, a temporary folder takes its place.
+    Where it is unset, a temporary folder takes its place if driver and executors are one process; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -37,16 +40,43 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/millrace-{what}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared folder that cut the lineage of longer jobs, and their removal."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, what: str, lasting: bool = False) -> DataFrame:
+        """df written as a table and read again; a lasting one, which a result still reads, outlives clear()."""
+        path = fresh_path(self.spark, what)
+        df.write.parquet(path)
+        if not lasting:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove the tables that no result reads any more."""
+        for path in self.paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths.clear()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again.
 
     A lost executor then costs at most the running stage, and the reread table
     has true sizes, by which Spark chooses joins.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, what, lasting=True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def fold(doc_id, folds: int):
@@ -54,13 +84,12 @@ def fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, max_chars: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents outside the held-out fold.
 
-    The rows with the lowest hash of doc_id are taken, so the sample depends on
-    neither partitioning nor order. Texts over max_chars are not learnt from,
-    which bounds what the driver gets. The ids are at most `rows` pairs of
-    numbers, hence the broadcast.
+    The ids with the lowest hash of doc_id are taken, so the sample depends on
+    neither partitioning nor order; of rows that repeat an id the greatest text
+    is the one. The ids are at most `rows` pairs of numbers, hence the broadcast.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -70,4 +99,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, table
+from .common import Scratch, fold, free_name, labelled_sample, table
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Bounds of the training sample: rows, and characters of a text to learn from.
-SAMPLE_ROWS, SAMPLE_CHARS = 5000, 20_000
+#: Bound of the training sample in rows. Words are counted where the texts lie; the driver gets the known features of each sentence.
+SAMPLE_ROWS = 5000
 #: Bound of the lexicon, so of the model that tasks get.
 MAX_FEATURES = 5000
+#: Toxic documents of a feature at least.
+LEAST = 3
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,35 +42,48 @@ def _features(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in (3, 4, 5) if len(word) >= n)]
 
 
-def _lexicon(bags: list[list[list[str]]], y: np.ndarray) -> dict[str, int]:
-    """Features that are clearly more frequent in toxic documents, by log-odds and count."""
-    seen = (Counter(), Counter())
-    for bag, label in zip(bags, y, strict=True):
-        words = {w for sentence in bag for w in sentence}
-        seen[int(label)].update({f for w in words for f in _features(w)})
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
+def _bag(text: str | None) -> list[list[str]]:
+    """The words of each sentence."""
+    return [_WORD.findall(s) for s in _SENTENCE.split((text or "").lower())]
+
+
+def _lexicon(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> dict[str, int]:
+    """Features that are clearly more frequent in toxic documents, by log-odds and count; counts: toxic and other documents of each feature."""
     found = []
-    for f, a in seen[1].items():
-        b = seen[0][f]
+    n1, n0 = max(1, n1), max(1, n0)
+    for f, (a, b) in counts.items():
         odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
         error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= 3 and odds >= 1.5 and odds / error >= 2.5:
+        if a >= LEAST and odds >= 1.5 and odds / error >= 2.5:
             found.append((-odds / error, f))
     return {f: i for i, (_, f) in enumerate(sorted(found)[:MAX_FEATURES])}
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 250, l2: float = 2e-4, rate: float = 0.15) -> dict:
+def _known(bag: list[list[str]], lexicon: dict[str, int]) -> list[list[int]]:
+    """The known features of each sentence that has any."""
+    return [k for words in bag if (k := [lexicon[f] for w in words for f in _features(w) if f in lexicon])]
+
+
+def train(texts: list[str], y: np.ndarray, **how) -> dict:
     """The weights by feature and the bias; {} weights if nothing tells the classes apart."""
     y = np.asarray(y, dtype=float)
-    bags = [[_WORD.findall(s) for s in _SENTENCE.split((t or "").lower())] for t in texts]
-    lexicon = _lexicon(bags, y)
+    bags = [_bag(t) for t in texts]
+    counts: dict[str, list[int]] = {}
+    for bag, label in zip(bags, y, strict=True):
+        for f in {f for sentence in bag for w in set(sentence) for f in _features(w)}:
+            counts.setdefault(f, [0, 0])[0 if label else 1] += 1
+    lexicon = _lexicon({f: (a, b) for f, (a, b) in counts.items()}, int(y.sum()), int(len(y) - y.sum()))
+    return ascend([_known(b, lexicon) for b in bags], y, lexicon, **how)
+
+
+def ascend(bags: list[list[list[int]]], y: np.ndarray, lexicon: dict[str, int], steps: int = 250, l2: float = 2e-4, rate: float = 0.15) -> dict:
+    """The weights that make the labels of bags of sentences, given as their features, likeliest."""
     doc_of, feature, sentence = [], [], []
     for d, bag in enumerate(bags):
-        for words in bag:
-            if known := [lexicon[f] for w in words for f in _features(w) if f in lexicon]:
-                feature += known
-                sentence += [len(doc_of)] * len(known)
-                doc_of.append(d)
+        for known in bag:
+            feature += list(known)
+            sentence += [len(doc_of)] * len(known)
+            doc_of.append(d)
     if not doc_of:
         return {"weights": {}, "bias": -4.0}
     doc_of, feature, sentence = (np.asarray(x) for x in (doc_of, feature, sentence))
@@ -120,8 +134,26 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Train on the bounded sample of labelled documents outside the held-out fold."""
-    got = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS).toPandas().sort_values(["doc_id", "text"])
-    return train(got["text"].tolist(), got["label"].to_numpy(dtype=float).clip(0, 1))
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.written(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS).withColumn("label", F.when(F.col("label") > 0, 1).otherwise(0)), "sample")
+
+    @F.pandas_udf("array<string>")
+    def kinds(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({f for w in set(_WORD.findall(t.lower())) for f in _features(w)}))
+
+    counted = sample.select("label", F.explode(kinds("text")).alias("f")).groupBy("f").agg(F.sum("label").cast("long").alias("a"), F.count("*").alias("n")).where(F.col("a") >= LEAST)
+    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # only features of toxic documents come here, which the sample's rows bound
+    counts = {r["f"]: (r["a"], r["n"] - r["a"]) for r in counted.collect()}
+    lexicon = _lexicon(counts, totals.get(1, 0), totals.get(0, 0))
+
+    @F.pandas_udf("array<array<int>>")
+    def known(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _known(_bag(t), lexicon))
+
+    got = sample.select("doc_id", "label", known("text").alias("bag")).toPandas().sort_values("doc_id")
+    scratch.clear()
+    return ascend(got["bag"].tolist(), got["label"].to_numpy(dtype=float), lexicon)
 
 
 def with_score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
@@ -155,5 +187,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without those that are scored toxic."""
-    return with_score(docs, fit(docs, table(spark, sf_dir, "labels")), "toxicity_score").where(F.col("toxicity_score") < THRESHOLD).drop("toxicity_score")
+    """documents without those that are scored toxic; a column of any name stays as it is."""
+    score = free_name(docs, "_toxicity")
+    return with_score(docs, fit(docs, table(spark, sf_dir, "labels")), score).where(F.col(score) < THRESHOLD).drop(score)
