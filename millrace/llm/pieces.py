@@ -2,18 +2,19 @@
 
 The encoding of a word is the only sequence of pieces in which every adjacent
 pair is stable: merging the pair's text anew gives the pair. It is found by
-backtracking: an Aho-Corasick automaton tells the pieces that begin at each
-place; the longest that is compatible with the piece before is taken, the next
-shorter if not; a bitfield marks places from which no way leads on.
-Compatibility is found by re-merging a pair's text and remembered by pair.
+backtracking: one pass of an Aho-Corasick automaton tells the longest piece that
+begins at each place; it is taken if it is compatible with the piece before,
+else the next shorter one that it begins with; a bitfield marks places from
+which no way leads on. Compatibility is found by re-merging a pair's text and
+remembered by pair.
 
 A space is the mark U+2581, and one is put before a text. No piece has a mark
-after another character, so no merge crosses the beginning of a word and words
-are encoded one by one; a task remembers a set number of them. Runs of several
-marks, whose merges tie, are merged directly. Characters without a piece become
-byte pieces.
+after another character, which is checked, so no merge crosses the beginning of
+a word and words are encoded one by one; a task remembers a set number of them.
+Characters without a piece become byte pieces, and no merge crosses them.
 
-Nulls count as empty texts. Repeated rows encode alike. Extra columns stay.
+Nulls count as empty texts. Repeated rows encode alike. Extra columns stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -59,11 +60,14 @@ class Encoder:
         self.order = {p: -m.get_score(i) for p, i in self.ids.items()}
         self.pieces = {i: p for p, i in self.ids.items()}
         self.bos, self.eos, self.unknown = m.bos_id(), m.eos_id(), m.unk_id()
-        self.single = frozenset(p for p in self.ids if len(p) == 1)
+        #: Runs of characters that are pieces themselves; no merge crosses another character.
+        self.runs = re.compile(f"([{''.join(re.escape(p) for p in self.ids if len(p) == 1)}]+)")
         #: Characters that no piece of several has, so that nothing merges across them.
         self.breaks = "" if any("\n" in p for p in self.ids if len(p) > 1) else "\n"
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("a piece has a mark inside, so words can't be encoded one by one")
         self.automaton = ahocorasick.Automaton()
-        self.real: dict[str, int] = {p: i for p, i in self.ids.items() if p.strip(MARK) and self._merged(p) == [p]}  # merging never makes the others
+        self.real: dict[str, int] = {p: i for p, i in self.ids.items() if self._merged(p) == [p]}  # merging never makes the others
         for p, i in self.real.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
@@ -110,27 +114,21 @@ class Encoder:
         self.stable[a << 32 | b] = ok = self._merged(p + q) == [p, q]
         return ok
 
-    def _plain(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [i] if i is not None else [self.bytes[b] or self.unknown for b in piece.encode("utf-8", "replace")]
-
-    def _longest(self, text: str, at: int) -> int:
-        """The longest piece at a place: the automaton's deepest path, then up to a piece."""
-        end = at + self.automaton.longest_prefix(text[at:])
-        while end > at:
-            if (i := self.real.get(text[at:end])) is not None:
-                return i
-            end -= 1
-        return -1
-
-    def _backtrack(self, text: str) -> list[int] | None:
-        """Ids of a text whose every character is a piece; None if there is no stable sequence."""
+    def _plain(self, character: str) -> list[int]:
+        return [self.bytes[b] or self.unknown for b in character.encode("utf-8", "replace")]
+
+    def _backtrack(self, text: str) -> list[int]:
+        """Ids of a text whose every character is a piece."""
         stable, shorter, length = self.stable, self.shorter, self.length
-        n, failed, at, last, out = len(text), 0, 0, -1, []
-        i = self._longest(text, 0)
+        n, at, last, out = len(text), 0, -1, []
+        longest, failed = [-1] * n, bytearray(n // 8 + 1)
+        for end, i in self.automaton.iter(text):  # all pieces by their ends, so of those with one beginning the longest comes last
+            longest[end + 1 - length[i]] = i
+        i = longest[0]
         while at < n:
             while i >= 0:
-                if not failed >> (at + length[i]) & 1:
+                to = at + length[i]
+                if not failed[to >> 3] >> (to & 7) & 1:
                     if last < 0 or ((ok := stable.get(last << 32 | i)) is None and self._compatible(last, i)) or ok:
                         break
                 i = shorter[i]
@@ -138,11 +136,11 @@ class Encoder:
                 out.append(i)
                 at += length[i]
                 last = i
-                i = self._longest(text, at) if at < n else -1
+                i = longest[at] if at < n else -1
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
-                    return None
+                    raise ValueError(f"no stable sequence of pieces for {text[:80]!r}")
                 i = out.pop()
                 at -= length[i]
                 i, last = shorter[i], out[-1] if out else -1
@@ -152,11 +150,9 @@ class Encoder:
         """Ids, 32 bits each, of a word with the marks before it, or of a part of a word."""
         got = self.known.get(text) or self.older.get(text)
         if got is None:
-            ids = None
-            if 1 < len(text) <= 64 and text[:2] != MARK * 2 and self.single.issuperset(text):
-                ids = self._backtrack(text)
-            if ids is None:
-                ids = [i for p in self._merged(text) for i in self._plain(p)]
+            ids: list[int] = []
+            for k, run in enumerate(self.runs.split(text)):
+                ids += self._backtrack(run) if k % 2 else [i for c in run for i in self._plain(c)]
             got = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= 64:
             if len(self.known) >= self.most:  # words that weren't met since the last time go
@@ -190,8 +186,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with `ids` (binary, four bytes an id) and `decoded`, the text those ids give."""
+def encoded(docs: DataFrame, path: str | None = None, column: str = "pieces") -> DataFrame:
+    """docs with a struct of `ids` (binary, four bytes an id) and `decoded`, the text those ids give."""
     path = path or default_model()
 
     @F.pandas_udf("struct<ids:binary,decoded:string>")
@@ -201,18 +197,25 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [e.encode(t) for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [e.decode(i) for i in ids]})
 
-    return docs.withColumn("_pieces", run("text")).withColumns({"ids": F.col("_pieces.ids"), "decoded": F.col("_pieces.decoded")}).drop("_pieces")
+    return docs.withColumn(column, run("text"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    e = encoded(docs.select("doc_id", "text"))
-    return e.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def _digests(pieces: str) -> list[Column]:
+    ids, decoded = F.col(f"{pieces}.ids"), F.col(f"{pieces}.decoded")
+    return [(F.length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256")]
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_digests("pieces"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token counts and digests of the documents that the mix keeps."""
-    return digests(docs)
+    """The documents that the mix keeps as training data: their columns but the text, `ids` (binary, four bytes an id), counts and digests.
+
+    A column of theirs with such a name stays, and the new one gets an underscore before its name.
+    """
+    pieces = free_name(docs, "_pieces")
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    new = [F.col(f"{pieces}.ids").alias("ids"), *_digests(pieces)]
+    names = [free_name(docs.drop("text"), n) for n in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")]
+    return encoded(docs, column=pieces).select(*own, *[c.alias(n) for c, n in zip(new, names, strict=True)])

@@ -70,9 +70,9 @@ def test_toxicity_finds_the_sentence(spark):
 def test_pieces_equal_the_library(odd):
     e = pieces.Encoder(pieces.default_model())
     rng = random.Random(9)
-    alphabet = [" ", "  ", "▁", "\n", "\r", "\t", "ing", "the", "é", "日", "😀", "<0x41>", "</s>", "}\r", "==", "\x00", "Ａ"]
+    alphabet = [" ", "  ", "▁", "\n", "\r", "\t", "ing", "the", "é", "日", "😀", "<0x41>", "</s>", "}\r", "==", "\x00", "Ａ", "a", "aa", "    ", "____"]
     fuzz = ["".join(rng.choice(alphabet) if rng.random() < 0.6 else chr(rng.randrange(32, 1500)) for _ in range(rng.randrange(40))) for _ in range(2000)]
-    for t in [*odd, *fuzz, " " * 999, "a" * 999]:
+    for t in [*odd, *fuzz, " " * 999, "a" * 999, "abcde0123" * 2000, "日本😀" * 2000]:
         want = e.model.encode(t or "", add_bos=True, add_eos=True)
         got = e.encode(t)
         assert np.frombuffer(got, "<u4").tolist() == want, repr(t)[:80]
@@ -80,8 +80,13 @@ def test_pieces_equal_the_library(odd):
 
 
 def test_pieces_on_spark(spark, odd):
-    out = {r["doc_id"]: r for r in pieces.digests(docs(spark, odd)).collect()}
+    frame = docs(spark, odd).withColumnRenamed("score", "ids")
+    out = {r["doc_id"]: r for r in pieces.stage(spark, frame, SF).collect()}
+    e = pieces.encoder(pieces.default_model())
     assert len(out) == len(odd) and out[0]["n_tokens"] == out[1]["n_tokens"] == 2
+    for i, t in enumerate(odd):
+        assert out[i]["ids"] == "clash" and np.frombuffer(out[i]["_ids"], "<u4").tolist() == e.model.encode(t or "", add_bos=True, add_eos=True)
+    assert pieces.stage(spark, frame.limit(0), SF).count() == 0
 
 
 def test_fingerprints(spark, odd):
