@@ -10,18 +10,30 @@ independent samples. Bands of R bins are the keys of candidate buckets: at
 similarity 0.8 a pair shares none of the bands with a probability of 2e-6.
 
 Documents with equal sets are one class, represented by the smallest id, so a
-group of copies costs one row each. Within a bucket every member is compared
-with a hub (the smallest id), not with every other member. A pair without a
-link to its hub is looked at again: where a bucket still holds members of
-different components, blocks of its members compare their sketches, and pairs
-over two components whose bins agree often enough (a tail of 1e-6 at similarity
-0.8) are verified too. Links within a component would change nothing. Links are
-only made by comparing whole shingle sets.
+group of copies costs one row each. Links are only made by comparing whole
+shingle sets, in three looks that get smaller; links within a component would
+change nothing and are not looked for.
+
+1. Every bucket has a hub: the member that shares most buckets, as the text
+   from which near copies were made shares more with each than they do with one
+   another. A member is compared with the most shared of its buckets' hubs.
+2. Members are compared with the other hubs of their buckets, unless they are in
+   one component with them by now.
+3. Where a bucket still holds several components, its members compare sketches.
+   Those with a partner in another component whose bins agree often enough (a
+   tail of 1e-6 at similarity 0.8) meet with their whole sets, which are counted
+   against one another through an index of shingles, and each place gives no
+   more links than it takes to join components: fewer than it has members.
+
+Looks 1 and 2 give at most a pair a bucket row. The bands of a large group of
+pairwise unlinked members remain the costly case: look 3 deals its members out
+by blocks of SKETCHES, so each is sent to as many places as the bucket has blocks.
 
 Nulls, empty and blank texts have no shingles and link with nothing. A null
 doc_id links with nothing and is kept. The stage takes shingles of five words;
-four are op9_neardup's own. Rows that repeat a doc_id are one node
-of the graph, each with the set size of its own text. Extra columns are allowed.
+four are op9_neardup's own. Rows that repeat a doc_id are one node of the graph
+with several sets, each with the set size of its own text; the stage keeps one
+row of such an id. Extra columns are allowed.
 """
 
 from __future__ import annotations
@@ -31,19 +43,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table, written
 
 WORDS, STAGE_WORDS, PERCENT = 4, 5, 80
 BINS, BAND_ROWS = 392, 7
-#: Bins that must agree, of BINS, for a pair to be verified in the second look: five deviations under 0.8.
+#: Bins that must agree, of BINS, for a pair to be verified in the third look: five deviations under 0.8.
 AGREE = 274
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 512
-#: Comparisons that one task group holds at once, beside the hub's set.
-MEMBERS = 128
+#: Members of a block that compare sketches, shingles of a block that meet with whole sets, and members that meet one copy of a hub's set.
+SKETCHES, SHINGLES, MEMBERS = 4096, 1_000_000, 1024
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -102,9 +112,10 @@ def bands(s: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, low) of each row; the last three are null for an empty set.
+    """(doc_id, n_shingles, set_key, tag, bands, low) of each row; the last four are null for an empty set.
 
-    low holds the lowest byte of each bin.
+    tag holds the set's size above 32 bits of its hash, so (doc_id, tag) tells
+    apart the sets of an id; low holds the lowest byte of each bin.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,131 +124,257 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for t in pdf["text"]:
                 h = shingles(t, words)
                 if len(h):
-                    k = sketch(h)
-                    rows.append((len(h), xxhash.xxh128_digest(h.tobytes()), bands(k), k.astype(np.uint8).tobytes()))
+                    k, key = sketch(h), xxhash.xxh128_digest(h.tobytes())
+                    rows.append((len(h), key, _tag(len(h), key), bands(k), k.astype(np.uint8).tobytes()))
                 else:
-                    rows.append((0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "low"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "bands", "low"]]
+                    rows.append((0, None, None, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "tag", "bands", "low"]).astype({"tag": "Int64"})
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "tag", "bands", "low"]]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, low binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, tag long, bands array<long>, low binary")
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(a, b) of the pairs whose full sets meet the threshold.
+def _tag(n: int, key: bytes) -> int:
+    return n << 32 | int.from_bytes(key[:4], "little")
 
-    Pairs (hub, node) are dealt in groups of some MEMBERS nodes with their hub;
-    a hub with many nodes is in many groups.
-    """
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    dealt = written(pairs.join(parts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")), "dealt")
-    needs = dealt.select(F.col("node").alias("doc_id"), "hub", "part").union(dealt.select(F.col("hub").alias("doc_id"), "hub", "part").distinct())
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _size(tag: str) -> Column:
+    return F.shiftright(F.col(tag), 32)
+
+
+def _fit(a: Column, b: Column) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, tag, hashes): the sets of the documents whose ids are in nodes; a set that an id repeats is given once for each run of its rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seen = None, set()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hub": pdf["hub"], "part": pdf["part"], "hashes": [shingles(t, words).tobytes() for t in pdf["text"]]})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [(int(i), np.frombuffer(h, np.uint64)) for i, h in zip(pdf["doc_id"], pdf["hashes"], strict=True)]
-        hub = int(pdf["hub"].iloc[0])
-        hubs = [h for i, h in found if i == hub]
-        out = set()
-        for i, h in found:
-            for g in hubs if i != hub else []:
-                if min(len(g), len(h)) * 100 < PERCENT * max(len(g), len(h)):
-                    continue
-                both = len(np.intersect1d(g, h, assume_unique=True))
-                if both and 100 * both >= PERCENT * (len(g) + len(h) - both):
-                    out.add(i)
-        return pd.DataFrame({"a": [hub] * len(out), "b": sorted(out)}, dtype="int64")
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needs.hint("merge"), "doc_id")
-    return texts.mapInPandas(sets, "doc_id long, hub long, part int, hashes binary").groupBy("hub", "part").applyInPandas(compare, "a long, b long")
-
-
-def likely(members: DataFrame) -> DataFrame:
-    """(hub, node) of the pairs of different components in one bucket whose sketches agree often enough.
-
-    members: (band, node, n, component, low). A bucket is cut into blocks of
-    about BLOCK members, and every two blocks meet in one place, so a large
-    bucket spreads over many tasks.
+            rows = []
+            for i, t in zip(pdf["node"], pdf["text"], strict=True):
+                if i != at:
+                    at, seen = i, set()
+                if len(h := shingles(t, words)):
+                    raw = h.tobytes()
+                    if (tag := _tag(len(h), xxhash.xxh128_digest(raw))) not in seen:
+                        seen.add(tag)
+                        rows.append((i, tag, raw))
+            yield pd.DataFrame(rows, columns=["node", "tag", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node")
+    return texts.mapInPandas(run, "node long, tag long, hashes binary")
+
+
+def _linked(both: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    return (both > 0) & (100 * both >= PERCENT * (n + sizes - both))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of the pairs (hub, hub_tag, node, tag) whose full sets meet the threshold.
+
+    Nodes are dealt in parts of some MEMBERS with their hub, so a hub with many
+    nodes is in many places. A place holds the hub's set, and nodes stream by.
     """
-    counts = written(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    parts = pairs.groupBy("hub", "hub_tag").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node", "tag"), "parts").cast("int").alias("part")
+    dealt = scratch.written(pairs.join(parts, ["hub", "hub_tag"]).select("hub", "hub_tag", "node", "tag", part), "dealt")
+    own = dealt.select("hub", "hub_tag", "part").distinct().join(sets.select(F.col("node").alias("hub"), F.col("tag").alias("hub_tag"), "hashes"), ["hub", "hub_tag"])
+    met = dealt.join(sets, ["node", "tag"]).select("hub", "hub_tag", "part", F.lit(1).alias("turn"), "node", "hashes")
+    rows = own.select("hub", "hub_tag", "part", F.lit(0).alias("turn"), F.col("hub").alias("node"), "hashes").union(met)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, mine = None, np.empty(0, np.uint64)
+        for pdf in batches:
+            found = []
+            for hub, tag, p, turn, node, raw in pdf.itertuples(index=False):
+                h = np.frombuffer(raw, np.uint64)
+                if not turn:
+                    at, mine = (hub, tag, p), h
+                elif at == (hub, tag, p) and _linked(np.array(len(np.intersect1d(mine, h, assume_unique=True))), len(mine), np.array(len(h))):
+                    found.append((hub, node))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    places = rows.repartition("hub", "hub_tag", "part").sortWithinPartitions("hub", "hub_tag", "part", "turn")
+    return places.mapInPandas(compare, "a long, b long")
+
+
+def _gathered(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each place, from batches sorted by place; a place may go on in the next batch."""
+    kept: list[pd.DataFrame] = []
+    last = np.empty(0)
+    for pdf in batches:
+        k = pdf[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(pdf)]
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            if kept and (k[at] != last).any():
+                yield kept[0] if len(kept) == 1 else pd.concat(kept)
+                kept = []
+            if to > at:
+                kept.append(pdf.iloc[at:to])
+                last = k[at]
+    if kept:
+        yield pd.concat(kept)
+
+
+def _places(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """members with (i, j, mine): a band's members are cut into blocks, and every two blocks meet in one place."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.join(counts, "band").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", other)
-    keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component", "low")
+    dealt = members.join(blocks, "band").withColumn("mine", F.pmod(F.xxhash64("node", "tag"), "blocks").cast("int")).withColumn("_other", other)
+    return dealt.withColumns({"i": F.least("mine", "_other"), "j": F.greatest("mine", "_other")}).drop("_other", "blocks")
+
+
+def likely(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, node, tag) of the members of a bucket with a partner of another component whose sketch agrees often enough.
+
+    members: (band, node, tag, component, low).
+    """
+    blocks = scratch.written(members.groupBy("band").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")), "blocks")
 
-    def pairs(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def some_of(g: pd.DataFrame) -> np.ndarray:
         low = np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), -1)
-        node, n, c = (g[k].to_numpy() for k in ("node", "n", "component"))
-        one, two = g["i"].iloc[0] != g["j"].iloc[0], g["mine"].to_numpy() == g["i"].iloc[0]
-        for k in np.flatnonzero(two) if one else range(len(g) - 1):
-            rest = np.flatnonzero(~two) if one else np.arange(k + 1, len(g))
+        c, n = g["component"].to_numpy(), g["tag"].to_numpy() >> 32
+        one, first = g["i"].iat[0] != g["j"].iat[0], g["mine"].to_numpy() == g["i"].iat[0]
+        some = np.zeros(len(g), bool)
+        for k in np.flatnonzero(first) if one else range(len(g) - 1):
+            rest = np.flatnonzero(~first) if one else np.arange(k + 1, len(g))
             rest = rest[(c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * PERCENT)]
+            rest = rest[~some[rest]] if some[k] else rest
             if len(rest) and len(rest := rest[(low[rest] == low[k]).sum(1) >= AGREE]):
-                yield np.minimum(node[k], node[rest]), np.maximum(node[k], node[rest])
+                some[rest] = some[k] = True
+        return some
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []
+        for g in _gathered(batches, ["band", "i", "j"]):
+            if (some := some_of(g)).any():
+                held.append(g.loc[some, ["band", "node", "tag"]])
+                if len(held) >= 500:
+                    yield pd.concat(held)
+                    held = []
+        if held:
+            yield pd.concat(held)
 
-        def done() -> Iterator[pd.DataFrame]:
-            if kept and (found := list(pairs(pd.concat(kept, ignore_index=True)))):
-                yield pd.DataFrame({"hub": np.concatenate([a for a, _ in found]), "node": np.concatenate([b for _, b in found])})
+    places = _places(members, blocks).select("band", "i", "j", "mine", "node", "tag", "component", "low")
+    return places.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "band long, node long, tag long").distinct()
 
-        for pdf in batches:  # sorted by place; a place's rows may go on in the next batch
-            for key, g in pdf.groupby(["band", "i", "j"], sort=False):
-                if kept and tuple(kept[0][["band", "i", "j"]].iloc[0]) != tuple(key):
-                    yield from done()
-                    kept.clear()
-                kept.append(g)
-        yield from done()
 
-    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "hub long, node long").distinct()
+def joining(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links between members of a band, by whole sets, that join different components; no more than join them.
 
+    members: (band, node, tag, component).
+    """
+    blocks = scratch.written(members.groupBy("band").agg(F.ceil(F.sum(_size("tag")) / SHINGLES).cast("int").alias("blocks")), "blocks")
 
-def components(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _gathered(batches, ["band", "i", "j"]):
+            if found := list(_links([np.frombuffer(h, np.uint64) for h in g["hashes"]], g["component"].to_numpy().copy())):
+                node = g["node"].to_numpy()
+                yield pd.DataFrame({"a": [node[a] for a, _ in found], "b": [node[b] for _, b in found]}, dtype="int64")
+
+    places = _places(members, blocks).select("band", "i", "j", "node", "tag", "component").join(sets, ["node", "tag"])
+    places = places.select("band", "i", "j", "node", "component", "hashes").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return places.mapInPandas(run, "a long, b long")
+
+
+def _links(sets: list[np.ndarray], c: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of two linked sets of different components c, which are then one."""
+    sizes = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    owner, values = owner[order], every[order]
+    for k in range(len(sets) - 1):
+        if (c == c[0]).all():
+            return
+        rest = np.flatnonzero((c != c[k]) & (np.arange(len(sets)) > k))
+        if not len(rest):
+            continue
+        a, b = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+        run = b - a
+        at = np.repeat(a - np.cumsum(run) + run, run) + np.arange(run.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for r in rest[_linked(both[rest], sizes[k], sizes[rest])]:
+            if c[r] != c[k]:
+                yield k, int(r)
+                c[c == c[r]] = c[k]
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of each node that has an edge (a, b); component is the least node reachable.
 
     Every round points each node at its least neighbour, hangs its other
     neighbours there too, and lets each target be followed one step on. The sum
     of targets falls until each node has one edge, to a root.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession)
+    e = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     while True:
-        least = written(e.groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n")), "least")
+        least = scratch.written(e.groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n")), "least")
         p = least.select("u", "p")
         up = p.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        open_ = least.where("n > 1").isEmpty() and p.join(up, "p", "left_semi").isEmpty()
-        if open_:
+        if least.where("n > 1").isEmpty() and p.join(up, "p", "left_semi").isEmpty():
             return p.select(F.col("u").alias("node"), F.col("p").alias("component")).union(p.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
         followed = p.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("v"))
         hung = e.join(p, "u").where("v != p").select(F.col("v").alias("u"), F.col("p").alias("v"))
-        e = written(followed.union(hung).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        e = scratch.written(followed.union(hung).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+
+
+def crowds(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, node, tag, hub, hub_tag, shared) of the members of buckets with at least two nodes.
+
+    shared is the number of bucket rows that the hub meets in all its bands.
+    """
+    members = entries.select(F.explode("bands").alias("band"), "node", "tag")
+    buckets = scratch.written(members.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "size"), "buckets")
+    crowd = scratch.written(members.join(buckets, "band").distinct(), "crowd")
+    shared = crowd.groupBy("node", "tag").agg(F.sum("size").alias("shared"))
+    ranked = scratch.written(crowd.join(shared, ["node", "tag"]).select("band", "node", "tag", "shared"), "ranked")
+    most = ranked.groupBy("band").agg(F.max(F.struct("shared", (-F.col("node")).alias("first"), "tag")).alias("h"))
+    hubs = most.select("band", (-F.col("h.first")).alias("hub"), F.col("h.tag").alias("hub_tag"), F.col("h.shared").alias("shared"))
+    return scratch.written(ranked.drop("shared").join(hubs, "band"), "members")
+
+
+def links(docs: DataFrame, entries: DataFrame, same: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the nodes that have a link; entries: (node, tag, bands, low), same: links (a, b) known before."""
+    crowd = crowds(entries, scratch)
+    sets = scratch.written(whole_sets(docs, crowd.select("node").distinct(), words), "sets")
+    pairs = crowd.where("node != hub").where(_fit(_size("tag"), _size("hub_tag")))
+    pairs = scratch.written(pairs.groupBy("hub", "hub_tag", "node", "tag").agg(F.max("shared").alias("shared")), "pairs")
+    first = pairs.groupBy("node", "tag").agg(F.max(F.struct("shared", (-F.col("hub")).alias("first"), "hub_tag")).alias("h"))
+    edges = scratch.written(verified(first.select((-F.col("h.first")).alias("hub"), F.col("h.hub_tag").alias("hub_tag"), "node", "tag"), sets, scratch).union(same), "links")
+
+    def labelled(rows: DataFrame, label: DataFrame, node: str, name: str) -> DataFrame:
+        return rows.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    label = scratch.written(components(edges, scratch), "labels")
+    open_ = labelled(labelled(pairs.drop("shared"), label, "node", "_a"), label, "hub", "_b").where("_a != _b").drop("_a", "_b")
+    edges = edges.union(scratch.written(verified(open_, sets, scratch), "links"))
+    label = scratch.written(components(edges, scratch), "labels")
+    members = labelled(crowd.select("band", "node", "tag"), label, "node", "component")
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    left = scratch.written(members.join(mixed.select("band"), "band"), "mixed")
+    lows = entries.select("node", "tag", "low").join(left.select("node", "tag").distinct(), ["node", "tag"]).dropDuplicates(["node", "tag"])
+    met = scratch.written(likely(left.join(lows, ["node", "tag"]), scratch), "likely")
+    if not met.isEmpty():
+        edges = edges.union(scratch.written(joining(labelled(met, label, "node", "component"), sets, scratch), "links"))
+        label = components(edges, scratch)
+    return label
 
 
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs."""
-    sig = written(signatures(docs, words), "signatures")
+    scratch = Scratch(docs.sparkSession)
+    sig = scratch.written(signatures(docs, words), "signatures")
     sized = sig.where("set_key is not null and doc_id is not null")
-    copies = written(sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep"), "copies")
-    plain = written(sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    one = sized.join(copies, "set_key", "left").where("rep is null or rep = doc_id")
-    members = one.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    buckets = written(members.groupBy("band").agg(F.min(F.struct("node", "n")).alias("h"), F.max("node").alias("last")).where("h.node < last").select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "buckets")
-    crowded = written(members.join(buckets, "band"), "members")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-    pairs = written(crowded.where("node != hub").where(fits(F.col("n"), F.col("hub_n"))).select("hub", "node").distinct(), "pairs")
+    copies = scratch.written(sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep"), "copies")
+    plain = scratch.written(sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes", lasting=True)
+    entries = sized.join(copies, "set_key", "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("node"), "tag", "bands", "low")
     # a doc_id with rows of different texts ties their classes together
     repeated = plain.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same = repeated.select("a", "b").union(repeated.select(F.col("doc_id").alias("a"), "b"))
-    edges = written(overlaps(docs, pairs, words).union(same), "links")
-    label = written(components(edges), "labels")
-    labelled = crowded.join(label, "node", "left").select("band", "node", "n", "hub", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    left = labelled.join(written(mixed.select("band"), "mixed"), "band")
-    lows = one.select(F.col("doc_id").alias("node"), "low").dropDuplicates(["node"])
-    rest = written(likely(left.join(lows, "node").select("band", "node", "n", "component", "low")), "rest")
-    if not rest.isEmpty():
-        label = written(components(overlaps(docs, rest, words).union(edges)), "labels")
+    label = scratch.written(links(docs, entries, same, words, scratch), "labels", lasting=True)
+    scratch.clear()
     out = plain.join(label, plain["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -247,6 +384,14 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents with the first document of each class alone."""
-    gone = written(classes(docs, STAGE_WORDS).where(~F.col("kept")).select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """documents with the first document of each class alone; of rows that repeat its id, the one with the least text."""
+    found = classes(docs, STAGE_WORDS)
+    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    gone = written(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).union(repeated), "gone")
+    id_ = docs["doc_id"].cast("long")
+    kept = docs.join(gone, id_ == gone["_id"], "left_anti")
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(repeated, id_ == repeated["_id"], "left_semi").groupBy(id_.alias("_id")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("_row"))
+    return kept.union(one.select("_row.*"))
