@@ -47,19 +47,28 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def written(self, df: DataFrame, what: str, lasting: bool = False) -> DataFrame:
-        """df written as a table and read again; a lasting one, which a result still reads, outlives clear()."""
-        path = fresh_path(self.spark, what)
-        df.write.parquet(path)
+        """df written as a table and read again; a lasting one, which a result still reads, outlives clear().
+
+        Shuffle files of the job go when the table is there.
+        """
+        path, conf, tidy = fresh_path(self.spark, what), self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(tidy)
+        conf.set(tidy, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(tidy, before)
         if not lasting:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def clear(self) -> None:
-        """Remove the tables that no result reads any more."""
-        for path in self.paths:
+    def clear(self, *whats: str) -> None:
+        """Remove the tables that nothing reads any more; all, or those of these names."""
+        gone = [p for p in self.paths if not whats or any(f"/millrace-{w}-" in p for w in whats)]
+        for path in gone:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.paths.clear()
+        self.paths = [p for p in self.paths if p not in gone]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -112,10 +112,10 @@ def bands(s: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, tag, bands, low) of each row; the last four are null for an empty set.
+    """(doc_id, n_shingles, set_key, tag, bands) of each row; the last three are null for an empty set.
 
     tag holds the set's size above 32 bits of its hash, so (doc_id, tag) tells
-    apart the sets of an id; low holds the lowest byte of each bin.
+    apart the sets of an id.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,14 +124,14 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for t in pdf["text"]:
                 h = shingles(t, words)
                 if len(h):
-                    k, key = sketch(h), xxhash.xxh128_digest(h.tobytes())
-                    rows.append((len(h), key, _tag(len(h), key), bands(k), k.astype(np.uint8).tobytes()))
+                    key = xxhash.xxh128_digest(h.tobytes())
+                    rows.append((len(h), key, _tag(len(h), key), bands(sketch(h))))
                 else:
-                    rows.append((0, None, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "tag", "bands", "low"]).astype({"tag": "Int64"})
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "tag", "bands", "low"]]
+                    rows.append((0, None, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "tag", "bands"]).astype({"tag": "Int64"})
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "tag", "bands"]]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, tag long, bands array<long>, low binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, tag long, bands array<long>")
 
 
 def _tag(n: int, key: bytes) -> int:
@@ -147,7 +147,10 @@ def _fit(a: Column, b: Column) -> Column:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, tag, hashes): the sets of the documents whose ids are in nodes; a set that an id repeats is given once for each run of its rows."""
+    """(node, tag, hashes, low, bands): the sets of the documents whose ids are in nodes, with the lowest bytes of their sketches' bins and their keys.
+
+    A set that an id repeats is given once for each run of its rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, seen = None, set()
@@ -160,11 +163,12 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFra
                     raw = h.tobytes()
                     if (tag := _tag(len(h), xxhash.xxh128_digest(raw))) not in seen:
                         seen.add(tag)
-                        rows.append((i, tag, raw))
-            yield pd.DataFrame(rows, columns=["node", "tag", "hashes"])
+                        k = sketch(h)
+                        rows.append((i, tag, raw, k.astype(np.uint8).tobytes(), bands(k).tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "tag", "hashes", "low", "bands"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node")
-    return texts.mapInPandas(run, "node long, tag long, hashes binary")
+    return texts.mapInPandas(run, "node long, tag long, hashes binary, low binary, bands binary")
 
 
 def _linked(both: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
@@ -180,9 +184,9 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     parts = pairs.groupBy("hub", "hub_tag").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node", "tag"), "parts").cast("int").alias("part")
     dealt = scratch.written(pairs.join(parts, ["hub", "hub_tag"]).select("hub", "hub_tag", "node", "tag", part), "dealt")
-    own = dealt.select("hub", "hub_tag", "part").distinct().join(sets.select(F.col("node").alias("hub"), F.col("tag").alias("hub_tag"), "hashes"), ["hub", "hub_tag"])
-    met = dealt.join(sets, ["node", "tag"]).select("hub", "hub_tag", "part", F.lit(1).alias("turn"), "node", "hashes")
-    rows = own.select("hub", "hub_tag", "part", F.lit(0).alias("turn"), F.col("hub").alias("node"), "hashes").union(met)
+    own = dealt.select(F.col("hub").alias("node"), F.col("hub_tag").alias("tag"), "hub", "hub_tag", "part", F.lit(0).alias("turn")).distinct()
+    needs = own.union(dealt.select("node", "tag", "hub", "hub_tag", "part", F.lit(1).alias("turn")))
+    rows = needs.join(sets.select("node", "tag", "hashes"), ["node", "tag"]).select("hub", "hub_tag", "part", "turn", "node", "hashes")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, mine = None, np.empty(0, np.uint64)
@@ -228,12 +232,13 @@ def _places(members: DataFrame, blocks: DataFrame) -> DataFrame:
 def likely(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(band, node, tag) of the members of a bucket with a partner of another component whose sketch agrees often enough.
 
-    members: (band, node, tag, component, low).
+    A pair is looked at in the first band that it shares. members: (band, node, tag, component, low, bands).
     """
     blocks = scratch.written(members.groupBy("band").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")), "blocks")
 
     def some_of(g: pd.DataFrame) -> np.ndarray:
         low = np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), -1)
+        keys, band = np.frombuffer(b"".join(g["bands"]), np.int64).reshape(len(g), -1), g["band"].iat[0]
         c, n = g["component"].to_numpy(), g["tag"].to_numpy() >> 32
         one, first = g["i"].iat[0] != g["j"].iat[0], g["mine"].to_numpy() == g["i"].iat[0]
         some = np.zeros(len(g), bool)
@@ -242,7 +247,8 @@ def likely(members: DataFrame, scratch: Scratch) -> DataFrame:
             rest = rest[(c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * PERCENT)]
             rest = rest[~some[rest]] if some[k] else rest
             if len(rest) and len(rest := rest[(low[rest] == low[k]).sum(1) >= AGREE]):
-                some[rest] = some[k] = True
+                rest = rest[keys[k][(keys[rest] == keys[k]).argmax(1)] == band]
+                some[rest] = some[k] = some[k] or len(rest) > 0
         return some
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +262,7 @@ def likely(members: DataFrame, scratch: Scratch) -> DataFrame:
         if held:
             yield pd.concat(held)
 
-    places = _places(members, blocks).select("band", "i", "j", "mine", "node", "tag", "component", "low")
+    places = _places(members, blocks).select("band", "i", "j", "mine", "node", "tag", "component", "low", "bands")
     return places.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "band long, node long, tag long").distinct()
 
 
@@ -273,7 +279,7 @@ def joining(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
                 node = g["node"].to_numpy()
                 yield pd.DataFrame({"a": [node[a] for a, _ in found], "b": [node[b] for _, b in found]}, dtype="int64")
 
-    places = _places(members, blocks).select("band", "i", "j", "node", "tag", "component").join(sets, ["node", "tag"])
+    places = _places(members, blocks).select("band", "i", "j", "node", "tag", "component").join(sets.select("node", "tag", "hashes"), ["node", "tag"])
     places = places.select("band", "i", "j", "node", "component", "hashes").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return places.mapInPandas(run, "a long, b long")
 
@@ -336,8 +342,9 @@ def crowds(entries: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def links(docs: DataFrame, entries: DataFrame, same: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of the nodes that have a link; entries: (node, tag, bands, low), same: links (a, b) known before."""
+    """(node, component) of the nodes that have a link; entries: (node, tag, bands), same: links (a, b) known before."""
     crowd = crowds(entries, scratch)
+    scratch.clear("signatures", "copies", "buckets", "crowd", "ranked")
     sets = scratch.written(whole_sets(docs, crowd.select("node").distinct(), words), "sets")
     pairs = crowd.where("node != hub").where(_fit(_size("tag"), _size("hub_tag")))
     pairs = scratch.written(pairs.groupBy("hub", "hub_tag", "node", "tag").agg(F.max("shared").alias("shared")), "pairs")
@@ -354,8 +361,7 @@ def links(docs: DataFrame, entries: DataFrame, same: DataFrame, words: int, scra
     members = labelled(crowd.select("band", "node", "tag"), label, "node", "component")
     mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     left = scratch.written(members.join(mixed.select("band"), "band"), "mixed")
-    lows = entries.select("node", "tag", "low").join(left.select("node", "tag").distinct(), ["node", "tag"]).dropDuplicates(["node", "tag"])
-    met = scratch.written(likely(left.join(lows, ["node", "tag"]), scratch), "likely")
+    met = scratch.written(likely(left.join(sets.select("node", "tag", "low", "bands"), ["node", "tag"]), scratch), "likely")
     if not met.isEmpty():
         edges = edges.union(scratch.written(joining(labelled(met, label, "node", "component"), sets, scratch), "links"))
         label = components(edges, scratch)
@@ -369,10 +375,10 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sized = sig.where("set_key is not null and doc_id is not null")
     copies = scratch.written(sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep"), "copies")
     plain = scratch.written(sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes", lasting=True)
-    entries = sized.join(copies, "set_key", "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("node"), "tag", "bands", "low")
+    entries = sized.join(copies, "set_key", "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("node"), "tag", "bands")
     # a doc_id with rows of different texts ties their classes together
     repeated = plain.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    same = repeated.select("a", "b").union(repeated.select(F.col("doc_id").alias("a"), "b"))
+    same = scratch.written(repeated.select("a", "b").union(repeated.select(F.col("doc_id").alias("a"), "b")), "same")
     label = scratch.written(links(docs, entries, same, words, scratch), "labels", lasting=True)
     scratch.clear()
     out = plain.join(label, plain["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
