@@ -17,7 +17,8 @@ at most, on either side.
 The seats are found without going through them one by one: two divisors bound
 each party's seats from below and above, and only the few between are ranked.
 
-Sources with few blocks use blocks of one word, so their rounding stays small.
+A source's taken words are within a block of its share of seats, whatever its
+size. Rows are dealt to shards by id and text, so rows without an id spread too.
 A source's shards number a quarter of the square root of its rows, or for
 op6_mixing the square root of all rows, so neither one shard's rows nor one
 source's shards grow with all rows.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), 1.5, 2
-#: Words of a block at most, blocks of a source at least (else its blocks are words), and the seed.
-BLOCK, FEW, SEED = 64, 64, 20240101
+#: Words of a block, for every source at every size, and the seed.
+BLOCK, SEED = 16, 20240101
 
 
 def apportion(df: DataFrame, by: list[str], keys: list[str], weight: str, seats: str) -> DataFrame:
@@ -73,8 +74,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with size the number of words."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, salt, size) with size the number of words; salt is a hash of the text."""
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("salt"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
 def mix(docs: DataFrame, scattered: bool = False) -> DataFrame:
@@ -86,15 +87,13 @@ def mix(docs: DataFrame, scattered: bool = False) -> DataFrame:
     shards = counted.select(F.col("source").alias("_source"), root.alias("shards"))
     per_source = targets(counted.select("source", "source_size"))
     per_source = written(per_source.join(shards, per_source["source"].eqNullSafe(shards["_source"])).drop("_source"), "targets")
-    budget, sources = per_source.agg(F.sum("target"), F.count("*")).first()
-    block = max(1, min(BLOCK, int((budget or 0) // (max(1, sources) * 64 * FEW))))
-    per_source = per_source.withColumn("unit", F.when(F.col("source_size") < FEW * block, 1).otherwise(block).cast("long"))
-    seats = F.round(F.sum("target").over(Window.partitionBy("unit")) / F.col("unit")).cast("long")
-    quotas = written(apportion(per_source.withColumn("seats", seats), ["unit"], ["sid"], "target", "seats").withColumnRenamed("quota", "source_quota"), "quotas")
+    per_source = per_source.withColumn("unit", F.lit(BLOCK).cast("long"))
+    seats = F.round(F.sum("target").over(Window.partitionBy()) / F.col("unit")).cast("long")
+    quotas = written(apportion(per_source.withColumn("seats", seats), [], ["sid"], "target", "seats").withColumnRenamed("quota", "source_quota"), "quotas")
 
     hashed = lambda *c: F.xxhash64(F.lit(SEED), *c)
     same = sizes["source"].eqNullSafe(quotas["source"])
-    dealt = written(sizes.join(quotas.select("sid", "source", "source_size", "target", "unit", "shards"), same).select("doc_id", "size", "sid", "source_size", "target", "unit", F.pmod(hashed("doc_id"), "shards").cast("int").alias("shard")), "dealt")
+    dealt = written(sizes.join(quotas.select("sid", "source", "source_size", "target", "unit", "shards"), same).select("doc_id", "size", "salt", "sid", "source_size", "target", "unit", F.pmod(hashed("doc_id", "salt"), "shards").cast("int").alias("shard")), "dealt")
     full = dealt.where("size > 0")
 
     # where each shard's words lie in its source's stream, and the blocks that begin there
@@ -110,7 +109,7 @@ def mix(docs: DataFrame, scattered: bool = False) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("sid", "shard").orderBy(*([hashed("sid", "block")] if scattered else []), "block"))
     copies = blocks.select("sid", "block", (F.floor(F.col("quota") / F.col("blocks")) + (turn <= F.col("quota") % F.col("blocks")).cast("long")).alias("copies")).where("copies > 0")
 
-    order = Window.partitionBy("sid", "shard").orderBy(hashed("doc_id", F.lit("order")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("sid", "shard").orderBy(hashed("doc_id", "salt", F.lit("order")), "doc_id", "size", "salt").rowsBetween(Window.unboundedPreceding, 0)
     placed = full.withColumn("end", F.sum("size").over(order)).join(cells.select("sid", "shard", "from"), ["sid", "shard"]).withColumn("end", F.col("end") + F.col("from"))
     start = F.col("end") - F.col("size")
     spans = placed.select("doc_id", "size", "sid", "source_size", "target", "unit", "end", F.explode(F.sequence(F.floor(start / F.col("unit")), F.floor((F.col("end") - 1) / F.col("unit")))).alias("block"))
