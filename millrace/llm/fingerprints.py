@@ -1,26 +1,30 @@
 """I-Match fingerprints: hashes of the terms within a band of inverse document frequency.
 
 Terms are lower-cased words. The lexicon holds the terms that at least one
-document in RAREST and at most one in COMMONEST has: as a document has a
-bounded number of distinct terms on average, the lexicon has at most that
-number times RAREST terms, however many documents there are, so every task can
-hold it. Frequencies are counted over all documents.
+document in RAREST and at most one in COMMONEST has, or a single document where
+there are fewer: as a document has a bounded number of distinct terms on
+average, the lexicon has at most that number times RAREST terms, however many
+documents there are, so every task can hold it. Frequencies are counted over all
+documents.
 
 A fingerprint is a row of hashes, one for each of several random subsets of the
 lexicon: the distinct terms of the document within a subset are sorted and
 hashed. Subsets hold each term with a probability of 1/8, 1/32, 1/128, 1/512 or
 1/2048, so that short and long documents alike have some with few terms, which
 survive edits elsewhere in the text. One draw a term divides the lexicon into
-disjoint subsets of a size, of which EACH are used. A document with fewer than FEW lexicon terms counts all
-its terms as such. A subset without any term of the document has the hash 0.
+disjoint subsets of a size, of which EACH are used. A subset without any term of
+the document has the hash 0. A document with words but no lexicon terms has one
+hash of all its distinct words in every subset, so it is alike only to those
+with the same words.
 
-Likeness of two fingerprints: of the subsets that are not empty in both, the
-best share of equal hashes over the sizes (1 if all hashes are equal).
+Likeness of two fingerprints: 1 if they are equal; else, of the subsets that are
+not empty in both, the best share of equal hashes over the sizes.
 
 Nulls count as empty; two empty texts are alike (1.0), an empty and another not
 (0.0). Repeated rows have equal fingerprints; of rows with equal doc_id those
 with the greater text come first. A null doc_id comes last. One document is its
-own next. Extra columns are ignored.
+own next. Rows of one doc_id, or without one, pass in order through one task,
+which holds two of them at a time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +41,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-RAREST, COMMONEST, FEW = 2000, 12, 8
+RAREST, COMMONEST = 2000, 12
 RATES, EACH = (3, 5, 7, 9, 11), 32
-#: A lexicon's size bound, as a multiple of RAREST: more distinct terms a document on average can't be.
-TERMS = 4000
+#: Words that a task remembers at most.
+REMEMBERED = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -56,12 +60,6 @@ def _term(word: str) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
-def terms(text: str | None) -> np.ndarray:
-    """The sorted 63-bit hashes of the distinct terms of a text."""
-    found = set(_WORD.findall((text or "").lower()))
-    return np.sort(np.fromiter(map(_term, found), np.int64, len(found)))
-
-
 def lexicon(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONEST) -> np.ndarray:
     """The sorted hashes of the terms in the band, counted over all rows of docs."""
 
@@ -79,27 +77,49 @@ def lexicon(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONEST) -
 
     rows = docs.count()
     counted = docs.select("text").mapInPandas(count, "term long, n int").groupBy("term").agg(F.sum("n").alias("n"))
-    band = counted.where((F.col("n") * rarest >= rows) & (F.col("n") * commonest <= rows) & (F.col("n") >= 2)).select("term")
-    found = band.limit(TERMS * rarest + 1).toPandas()["term"].to_numpy(dtype=np.int64)
-    if len(found) > TERMS * rarest:
-        raise ValueError("documents have too many distinct terms for a lexicon that every task can hold")
-    return np.sort(found)
-
-
-def fingerprint(found: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """One hash for each subset, from a text's term hashes."""
-    at = np.searchsorted(lexicon, found)
-    kept = found[lexicon[np.minimum(at, len(lexicon) - 1)] == found] if len(lexicon) else found[:0]
-    h = (kept if len(kept) >= FEW else found).astype(np.uint64)
+    band = counted.where((F.col("n") * rarest >= rows) & ((F.col("n") * commonest <= rows) | (F.col("n") == 1))).select("term")
+    return np.sort(band.toPandas()["term"].to_numpy(dtype=np.int64))  # at most rarest times the average number of distinct terms
+
+
+class Lexicon:
+    """The terms of the band; a task's copy remembers which words are in it."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms, self.known = terms, {}
+
+    def fingerprint(self, text: str | None) -> np.ndarray:
+        """One hash for each subset of the lexicon."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, words = self.known, set(_WORD.findall((text or "").lower()))
+        if new := [w for w in words if w not in known]:
+            h = np.fromiter(map(_term, new), np.int64, len(new))
+            at = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
+            inside = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
+            known.update(zip(new, np.where(inside, h, -1).tolist(), strict=True))
+        found = np.fromiter((known[w] for w in words), np.int64, len(words))
+        found = np.sort(found[found >= 0])
+        if words and not len(found):
+            return np.full(len(RATES) * EACH, xxhash.xxh64_intdigest("\n".join(sorted(words))) | 1, np.uint64)
+        return hashed(found)
+
+
+def hashed(terms: np.ndarray) -> np.ndarray:
+    """One hash for each subset, from the sorted hashes of a text's terms in the band."""
+    h = terms.astype(np.uint64)
     out = np.zeros((len(RATES), EACH), np.uint64)
     with np.errstate(over="ignore"):
         for level, rate in enumerate(RATES):
             for first in range(0, EACH, 1 << rate):
-                drawn = _mix(h + np.uint64(1 + (rate << 8 | first)) * _M)
-                cell = (drawn >> np.uint64(64 - rate)).astype(np.intp) + first
-                some = cell < EACH
-                # a sum of hashes anew doesn't depend on order: it hashes the sorted terms
-                np.add.at(out[level], cell[some], _mix(drawn[some] * _M))
+                cell = (_mix(h + np.uint64(1 + (rate << 8 | first)) * _M) >> np.uint64(64 - rate)).astype(np.intp) + first
+                some = np.flatnonzero(cell < EACH)
+                order = some[np.argsort(cell[some], kind="stable")]  # terms stay sorted within a subset
+                ends = np.cumsum(np.bincount(cell[order], minlength=EACH)) * 8
+                raw, at = h[order].tobytes(), 0
+                for k, end in enumerate(ends.tolist()):
+                    if end > at:
+                        out[level, k] = xxhash.xxh64_intdigest(raw[at:end], rate) | 1
+                        at = end
     return out.ravel()
 
 
@@ -138,21 +158,25 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     # after the last part comes the first again
     lead = [(order[i - 1], top[p]) for i, p in enumerate(order)]
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("own", part)
-    to = F.array(F.struct(F.col("own").alias("part"), F.lit(0).alias("ahead")), *[F.when(F.col("doc_id").eqNullSafe(F.lit(t).cast("long")) & (F.lit(t).isNotNull() | (F.col("own") == order[(order.index(p) + 1) % len(order)])), F.struct(F.lit(p).cast("int").alias("part"), F.lit(1).alias("ahead"))) for p, t in lead])
-    return numbered.select("doc_id", "text", F.explode(F.filter(to, lambda x: x.isNotNull())).alias("to")).select("to.part", "doc_id", "text", "to.ahead")
+    # the highest id of each part is read by the part before it too: a row a part, so it may be broadcast
+    spark = docs.sparkSession
+    goes = F.broadcast(spark.createDataFrame([(p, t, q) for q, t in lead for p in order if p == order[(order.index(q) + 1) % len(order)]], "of int, top long, other int"))
+    ahead = numbered.join(goes, (F.col("own") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top"))).select(F.col("other").alias("part"), "doc_id", "text", F.lit(1).alias("ahead"))
+    return numbered.select(F.col("own").alias("part"), "doc_id", "text", F.lit(0).alias("ahead")).union(ahead)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, its edited text, both fingerprints (binary) and near_edited, near_next."""
-    words = lexicon(docs)
+    held = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
     parts = max(1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Lexicon(held.value)
         last = None  # (part, doc_id, text, fingerprint) of the row that waits for its next
 
         def closed(text: str, mine: np.ndarray, following: str, its: np.ndarray) -> tuple:
             e = edited(text, following)
-            f = fingerprint(terms(e), words)
+            f = words.fingerprint(e)
             return len(text), e, mine.tobytes(), f.tobytes(), likeness(mine, f), likeness(mine, its)
 
         out: list[tuple] = []
@@ -161,14 +185,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if ahead and (last is None or last[0] != p):
                     continue
                 t = t or ""
-                mine = fingerprint(terms(t), words)
+                mine = words.fingerprint(t)
                 if last is not None and last[0] == p:
                     out.append((last[1], *closed(last[2], last[3], t, mine)))
                 last = None if ahead else (p, None if pd.isna(i) else int(i), t, mine)
             yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
             out = []
 
-    dealt = with_next(docs, parts).repartition("part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    dealt = with_next(docs, parts).repartitionByRange(parts, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
     return dealt.mapInPandas(run, "doc_id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 

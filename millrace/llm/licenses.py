@@ -6,17 +6,18 @@ block however it is wrapped. A template is a set of words. A block meets a
 template if it has at least CONTAINMENT of the template's words. A template
 that is a base phrase is found across lines as that phrase; as a template it is
 looked for in the line alone. Words are ordered by how many lines of all
-documents have them, rarest first; any order gives the same result. Filters:
+documents have them, rarest first; any order gives the same result. Words of no
+template come before all others, so they never stand in the way. Filters:
 
 - prefix: of a template's words, those that come first, as many as may be missed
   and one more; a block without any of them can't meet the template;
-- length: a block with fewer words than are needed can't;
-- position: the first prefix word found at position k of the order leaves at
-  most size - k words to share, and fewer than are needed can't.
+- length: a block with fewer template words than are needed can't;
+- position: if the first word that both have is at position i of the template
+  and j of the block, they share at most min(size - i, size - j) words.
 
-What is left is verified on whole sets. Templates are a fixed, small list, so
-they are literals of the plan and blocks never leave their row: nothing is
-shuffled but the word counts, summed before their shuffle.
+What is left is verified on whole sets. Templates are a parameter, a mapping or
+a table of (label, text), and become literals of the plan, so blocks never leave
+their row: nothing is shuffled but the word counts, summed before their shuffle.
 
 Base labels are phrases: places where their words stand consecutively.
 
@@ -32,7 +33,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
@@ -93,8 +94,13 @@ def _needed(size: int, containment: float) -> int:
     return max(1, -int(-size * containment // 1))
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """docs with `words`, `places` (start, label of base phrases) and `blocks` (line, template, containment)."""
+def scanned(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """docs with `words`, `places` (start, label of base phrases) and `blocks` (line, template, containment).
+
+    Templates are a parameter: a table of them has to be one that a plan can hold. Columns of docs with these names are replaced.
+    """
+    if isinstance(templates, DataFrame):
+        templates = {r["label"]: r["text"] for r in templates.select("label", lowered(F.col("text")).alias("text")).collect()}
     counts = frequencies(docs, templates)
     plan = []
     for label, text in sorted(templates.items()):
@@ -103,29 +109,34 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment:
         plan.append((label, ordered, need, ordered[: len(ordered) - need + 1]))
     starters = sorted({w for _, _, _, prefix in plan for w in prefix})
     prefix_pattern = _strong(dict(enumerate(starters)))
+    ranked = _literal(sorted(counts, key=lambda w: (counts[w], w)))
 
     def blocks(block: Column, number: Column) -> Column:
-        line = words(F.substring_index(block, "\n", 1))
+        own = F.array_intersect(ranked, words(block))  # the block's template words in the global order
+        line = F.array_intersect(ranked, words(F.substring_index(block, "\n", 1)))
 
-        def met(own: Column) -> Column:
+        def met(both: Column) -> Column:
             def one(label: str, ordered: list[str], need: int, prefix: list[str]) -> Column:
-                first = F.array_position(F.transform(_literal(prefix), lambda w: F.array_contains(own, w)), True)
-                shared = F.size(F.array_intersect(line if templates[label] in PHRASES.values() else own, _literal(ordered)))
-                passes = (F.size(own) >= need) & (first > 0) & (len(ordered) - first + 1 >= need)
-                return F.when(passes & (shared >= need), F.struct(number.cast("int").alias("line"), F.lit(label).alias("template"), (shared / len(ordered)).alias("containment")))
+                mine = both["line"] if templates[label] in PHRASES.values() else both["own"]
+                shared = F.array_intersect(_literal(prefix), mine)
+                i, j = F.array_position(_literal(prefix), F.get(shared, F.lit(0))), F.array_position(mine, F.get(shared, F.lit(0)))
+                passes = (F.size(mine) >= need) & (F.size(shared) > 0) & (F.least(len(ordered) - i, F.size(mine) - j) + 1 >= need)
+                held = F.size(F.array_intersect(mine, _literal(ordered)))
+                return F.when(passes & (held >= need), F.struct(number.cast("int").alias("line"), F.lit(label).alias("template"), (held / len(ordered)).alias("containment")))
 
             return F.array_compact(F.array(*[one(*p) for p in plan]))
 
-        return F.element_at(F.transform(F.array(F.array_distinct(words(block))), met), 1)
+        return F.element_at(F.transform(F.array(F.struct(own.alias("own"), line.alias("line"))), met), 1)
 
-    base = docs.withColumn("_low", lowered(F.col("text"))).withColumn("words", words(F.col("_low")))
+    low = free_name(docs, "_low")
+    base = docs.withColumn(low, lowered(F.col("text"))).withColumn("words", words(F.col(low)))
     # blocks that hold a word of some template's prefix; the others can't meet any
     longest = max((len(t.split()) for t in templates.values()), default=1)
-    numbered = F.transform(F.regexp_extract_all("_low", F.lit(_block(longest - 1)), F.lit(1)), lambda block, i: F.struct(i.alias("i"), block.alias("block")))
+    numbered = F.transform(F.regexp_extract_all(low, F.lit(_block(longest - 1)), F.lit(1)), lambda block, i: F.struct(i.alias("i"), block.alias("block")))
     likely = F.filter(numbered, lambda x: x["block"].rlike(prefix_pattern))
     found = F.flatten(F.transform(likely, lambda x: blocks(x["block"], x["i"])))
     none = F.array().cast("array<struct<line:int,template:string,containment:double>>")
-    base = base.withColumn("blocks", F.when(F.col("_low").rlike(prefix_pattern), found).otherwise(none))
+    base = base.withColumn("blocks", F.when(F.col(low).rlike(prefix_pattern), found).otherwise(none))
 
     def at(label: str, phrase: str) -> Column:
         parts = phrase.split()
@@ -136,7 +147,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment:
     empty = F.array().cast("array<struct<start:bigint,label:string>>")
     rough = "|".join(f"{p.split()[0]}[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+{p.split()[1]}" for p in PHRASES.values())
     places = F.concat(*[at(label, phrase) for label, phrase in sorted(PHRASES.items())])
-    return base.withColumn("places", F.when(F.col("_low").rlike(rough), places).otherwise(empty)).drop("_low")
+    return base.withColumn("places", F.when(F.col(low).rlike(rough), places).otherwise(empty)).drop(low)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

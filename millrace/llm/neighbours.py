@@ -174,7 +174,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
                 leaves = tree.visits(np.append(np.frombuffer(v, "<f8"), 0.0), sizes, least, k + 1)
                 yield pd.DataFrame({"query_id": int(i), "v": v, "leaf": leaves})
 
-    walked = written(queries.mapInPandas(walk, "query_id long, v binary, leaf int"), "walked")
+    walked = written(queries.repartition(spark.sparkContext.defaultParallelism * 4, "query_id").mapInPandas(walk, "query_id long, v binary, leaf int"), "walked")
     asks = {r["leaf"]: r["count"] for r in walked.groupBy("leaf").count().collect()}
     pieces = spark.createDataFrame([(i, max(1, -(-int(sizes[i]) // ROWS)), -(-n // ASKED)) for i, n in asks.items()], "leaf int, rows int, asks int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

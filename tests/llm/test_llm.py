@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import extraction, fingerprints, licenses, mixing, neardup, neighbours, pieces, quality, toxicity, warc
 
@@ -100,6 +101,7 @@ def test_pieces_on_spark(spark, odd):
 
 
 def test_fingerprints(spark, odd):
+    odd = [*odd, *(" ".join(f"f{i}x{j}" for j in range(40)) for i in range(90))]
     frame = docs(spark, odd).select("doc_id", "text")
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(frame).collect()}
     texts = [t or "" for t in odd]
@@ -113,6 +115,21 @@ def test_fingerprints(spark, odd):
     assert fingerprints.fingerprints(frame.limit(0)).count() == 0
     one = fingerprints.fingerprints(frame.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+    # by the definition: band, subsets and sorted terms, written out for one text
+    counts = Counter(w for t in texts for w in set(re.findall(r"[^\W_]+", t.lower())))
+    band = {w for w, n in counts.items() if n * 2000 >= len(texts) and (n * 12 <= len(texts) or n == 1)}
+    mine = sorted(fingerprints._term(w) for w in set(texts[8].split()) & band)
+    want = [[b"" for _ in range(fingerprints.EACH)] for _ in fingerprints.RATES]
+    for level, rate in enumerate(fingerprints.RATES):
+        for first in range(0, fingerprints.EACH, 1 << rate):
+            for h in mine:
+                cell = (int(fingerprints._mix(np.array([(h + (1 + (rate << 8 | first)) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) >> (64 - rate)) + first
+                if cell < fingerprints.EACH:
+                    want[level][cell] += h.to_bytes(8, "little")
+    hashes = [xxhash.xxh64_intdigest(b, r) | 1 if b else 0 for r, row in zip(fingerprints.RATES, want, strict=True) for b in row]
+    assert np.frombuffer(bytes(got[8]["fingerprint"]), np.uint64).tolist() == hashes and any(hashes)
+    odd_ids = spark.createDataFrame([(None, "a b"), (None, "c d"), (5, "e f g h i j"), (5, "k l m n o p"), (5, "k l m n o p")], "doc_id long, text string")
+    assert fingerprints.fingerprints(odd_ids).count() == 5
 
 
 def test_extraction():
@@ -236,6 +253,45 @@ def test_licenses(spark):
     assert got[5][2] == [] and got[6][1] == [(1, "gpl")]
 
 
+def test_licenses_equal_brute_force(spark):
+    table = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    word = re.compile(licenses.WORD)
+    lower = {c: c + 32 for c in range(65, 91)}
+    got = {r["doc_id"]: r for r in licenses.op8_licenses(spark, SF).collect()}
+    longest = max(len(t.split()) for t in licenses.TEMPLATES.values())
+    seen = Counter()
+    for i, text in table:
+        low = text.translate(lower)
+        words = word.findall(low)
+        places = sorted((at, label) for label, phrase in licenses.PHRASES.items() for at in range(len(words)) if words[at : at + len(phrase.split())] == phrase.split())
+        labels, score, at = {label for _, label in places}, 0.0, 0
+        for line in low.split("\n"):
+            mine = word.findall(line)
+            block = {*words[at : at + len(mine) + longest - 1]} if mine else set()
+            at += len(mine)
+            for label, template in licenses.TEMPLATES.items():
+                t = set(template.split())
+                share = len(t & (set(mine) if template in licenses.PHRASES.values() else block)) / len(t)
+                if share >= licenses.CONTAINMENT:
+                    labels.add(label)
+                    score = max(score, share)
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and r["labels"] == ",".join(sorted(labels))
+        assert math.isclose(r["score"], 1.0 if places else score)
+        seen.update(labels)
+    assert len(got) == len(table) and len(seen) > 2
+
+
+def test_licenses_odd_tables(spark):
+    frame = docs(spark, ["x " * 200_000 + "all rights reserved", "all rights reserved", "all rights reserved"]).withColumnRenamed("score", "_low").withColumnRenamed("label", "extra")
+    table = spark.createDataFrame([("ours", "Do What You Want Public Thing")], "label string, text string")
+    got = licenses.scanned(frame, table).collect()
+    assert [len(r["places"]) for r in got] == [1, 1, 1] and {r["_low"] for r in got} == {"clash"}
+    assert licenses.scanned(frame.limit(0), table).count() == 0
+    assert [b["template"] for b in licenses.scanned(docs(spark, ["you may do what\nyou want, public thing"]).drop("label"), table).first()["blocks"]] == ["ours"]
+
+
 def test_licenses_wrapped(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\n{}modification, are permitted provided that"
     texts = [bsd.format(""), bsd.format(" * ").replace("\n", "\r\n"), bsd.format("\n# \n# ")]
