@@ -1,15 +1,18 @@
 """HTML extraction by a tree-structured graphical model.
 
 The nodes are a page's block elements, each content or not. A node's own
-potential is log-linear in its features: tag, words of class and id, length,
-links, punctuation. Parent and child share a potential by their two states.
+potential is log-linear in its features: tag, length, links, punctuation, and the
+words of class and id, each hashed to one of BUCKETS weights that training finds.
+Parent and child share a potential by their two states.
 Sum-product messages, upward from the leaves and downward from the root, give
 each node's exact marginal; a block with a marginal over one half is content.
 
 The potentials are trained by gradient ascent on the likelihood of labelled
 pages, whose expectations are the same marginals. The labelled pages are made
 here from a seed: layouts with menus, headers, asides, adverts, notices, forms,
-comments and articles, where the maker knows which blocks are content.
+comments and articles, where the maker knows which blocks are content. It leaves
+a third of the blocks without a name and misnames some, so that the model also
+learns to tell blocks by their structure.
 
 Text of inline elements belongs to the block around them; a line break is white
 space. Scripts, styles, heads, controls and comments are no nodes. Character
@@ -17,7 +20,7 @@ references are decoded, runs of white space become one space, blocks follow each
 other in page order with one space between.
 
 Null and empty html give an empty text. Repeated rows extract alike. Extra
-columns stay.
+columns stay, but for one that has the name of the new one.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -46,26 +50,38 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TAGS = ("p", "div", "article", "main", "section", "body", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "h", "table", "blockquote", "pre", "figure", "td")
-HINTS = {
+BUCKETS = 1024
+#: Names that the maker of labelled pages draws from; no feature knows them.
+NAMES = {
     "good": "article content entry post story text main body prose paragraph page",
     "bad": "ad ads advert advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share social related recommended sidebar widget toolbar breadcrumb breadcrumbs pager pagination tags meta byline menu nav navbar navigation footer header masthead copyright legal login search form skip toc",
     "talk": "comment comments reply replies disqus discussion respond thread reactions feedback",
+    "any": "box inner wrap row col block left right big dark item list panel group unit",
 }
-_KIND = {w: k for k, ws in HINTS.items() for w in ws.split()}
+
+
+@cache
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "runs", "links", "chars")
+    __slots__ = ("tag", "names", "parent", "runs", "links", "chars")
 
-    def __init__(self, tag: str, hint: str, parent: int):
-        self.tag, self.hint, self.parent = tag, hint, parent
+    def __init__(self, tag: str, names: set[str], parent: int):
+        self.tag, self.names, self.parent = tag, names, parent
         self.runs, self.links, self.chars = [], 0, 0
 
 
+@cache
+def _end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements in page order (parents first) and the (node, text) runs in page order."""
-    nodes, open_, runs = [Node("body", "", -1)], [0], []
-    links, text, at = 0, [], 0
+    nodes, open_, runs = [Node("body", set(), -1)], [0], []
+    links, text, at, unclosed = 0, [], 0, set()
 
     def flush() -> None:
         if text:
@@ -88,7 +104,9 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in SKIPPED:
             if not m[1] and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                end = None if tag in unclosed else _end(tag).search(source, at)
+                if end is None:
+                    unclosed.add(tag)  # nor is there an end further on
                 at = end.end() if end else (len(source) if tag in ("script", "style") else at)
         elif tag in INLINE:
             links = max(0, links + (-1 if m[1] else 1)) if tag == "a" else links
@@ -108,9 +126,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush()
             if tag in CLOSES_P and nodes[open_[-1]].tag == "p" or tag in ("li", "td", "tr", "dt", "dd") and nodes[open_[-1]].tag == tag:
                 open_.pop()
-            kinds = {_KIND.get(w) for v in _HINTS.findall(m[3]) for w in _WORDS.findall(v.lower())} if m[3] else set()
-            hint = "talk" if "talk" in kinds else "bad" if "bad" in kinds else "good" if "good" in kinds else ""
-            nodes.append(Node(tag, hint, open_[-1]))
+            nodes.append(Node(tag, {w for v in _HINTS.findall(m[3]) for w in _WORDS.findall(v.lower())} if m[3] else set(), open_[-1]))
             open_.append(len(nodes) - 1)
             links = 0
     add(source[at:])
@@ -120,9 +136,12 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
+DENSE = len(TAGS) + 9
+
+
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row of features for each node."""
-    out = np.zeros((len(nodes), len(TAGS) + 11))
+    """A row of features for each node, but for those of its names."""
+    out = np.zeros((len(nodes), DENSE))
     t = len(TAGS)
     for i, n in enumerate(nodes):
         tag = "h" if len(n.tag) == 2 and n.tag[0] == "h" else n.tag
@@ -131,10 +150,20 @@ def features(nodes: list[Node]) -> np.ndarray:
         chars = sum(map(len, n.runs))
         share = n.links / n.chars if n.chars else 0.0
         marks = sum(len(_PUNCTUATION.findall(r)) for r in n.runs)
-        out[i, t:] = (1, n.hint == "good", n.hint == "bad", n.hint == "talk", chars == 0, min(chars, 400) / 400, chars > 80, share, share > 0.5, min(marks, 10) / 10, n.parent == 0)
+        out[i, t:] = (1, not n.names, chars == 0, min(chars, 400) / 400, chars > 80, share, share > 0.5, min(marks, 10) / 10, n.parent == 0)
     return out
 
 
+def names(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, bucket) of each name of each node."""
+    found = [(i, _bucket(w)) for i, n in enumerate(nodes) for w in n.names]
+    return tuple(np.array(found, np.intp).reshape(-1, 2).T)
+
+
+def odds(x: np.ndarray, named: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+    return x @ w[:DENSE] + np.bincount(named[0], w[DENSE + named[1]], len(x))
+
+
 def marginals(parents: list[int], own: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of content for each node, and the summed joint of parent and child states.
 
@@ -158,7 +187,7 @@ def marginals(parents: list[int], own: np.ndarray, pair: np.ndarray) -> tuple[np
     return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500))), joint
 
 
-def labelled_pages(count: int = 160, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, set[str]]]:
     """Made pages with the set of their content words; every word is in one block only."""
     rng, serial = random.Random(seed), 0
 
@@ -174,7 +203,11 @@ def labelled_pages(count: int = 160, seed: int = 11) -> list[tuple[str, set[str]
         return "".join(f"<li><a href='/x'>{words(rng.randint(1, 3), '')}</a></li>" for _ in range(n))
 
     def named(kind: str) -> str:
-        return rng.choice(HINTS[kind].split()) + rng.choice(["", "-box", " inner", "-wrap"])
+        roll = rng.random()
+        if roll < 0.3:
+            return rng.choice(NAMES["any"].split())
+        kind = rng.choice(sorted(NAMES)) if roll < 0.38 else kind
+        return rng.choice(NAMES[kind].split()) + rng.choice(["", "-box", " inner", "-wrap", " " + rng.choice(NAMES["any"].split())])
 
     def junk() -> str:
         text = words(rng.randint(3, 45))
@@ -182,6 +215,7 @@ def labelled_pages(count: int = 160, seed: int = 11) -> list[tuple[str, set[str]
             f"<nav><ul>{links(rng.randint(3, 9))}</ul></nav>", f"<div class='{named('bad')}'>{text}</div>", f"<div id='{named('bad')}'><p>{text}</p><p>{words(12)}</p></div>",
             f"<aside><h3>{words(3, '')}</h3><ul>{links(4)}</ul></aside>", f"<aside class='{named('bad')}'><p>{text}</p></aside>", f"<ul class='{named('bad')}'>{links(5)}</ul>", f"<form><p>{words(6)}</p><div>{words(3, '')}</div></form>",
             f"<section class='{named('talk')}'><h2>{words(2, '')}</h2><div class='{named('talk')}'><p>{text}</p></div><article class='{named('talk')}'><p>{words(25)}</p></article></section>", f"<div id='{named('talk')}'><ul><li><p>{text}</p></li><li>{words(14)}</li></ul></div>",
+            f"<section><h2>{words(2, '')}</h2><ol class='{rng.choice(NAMES['any'].split())}'>" + "".join(f"<li><p>{words(rng.randint(2, 18))}</p></li>" for _ in range(rng.randint(2, 6))) + "</ol></section>",
             f"<div role='{rng.choice(['alert', 'banner', 'search', 'navigation'])}'>{text}</div>", f"<div><a href='/'>{words(4, '')}</a> <a href='/b'>{words(3, '')}</a></div>",
         ])
 
@@ -194,6 +228,8 @@ def labelled_pages(count: int = 160, seed: int = 11) -> list[tuple[str, set[str]
             return kept[-1]
 
         blocks = [f"<h1>{good(rng.randint(2, 9), '')}</h1>"] * (rng.random() < 0.8)
+        if blocks and rng.random() < 0.2:
+            blocks = [f"<header>{blocks[0]}</header>"]
         for _ in range(rng.randint(1, 9)):
             blocks.append(rng.choices([f"<p>{good(rng.choice([1, 4, 20, 60, 120]))}</p>", f"<h2>{good(3, '')}</h2>", f"<blockquote><p>{good(15)}</p></blockquote>", f"<ul><li>{good(9)}</li><li>{good(5, '')}</li></ul>", f"<p>{good(8)} <a href='/y'>{good(2, '')}</a> {good(6)}</p>", f"<p><b>{good(5)}<br>", junk()], [10, 1, 1, 1, 2, 1, 1.5])[0])
         # texts that were made but not chosen are no content; a page's words tell which are
@@ -220,14 +256,15 @@ def model(steps: int = 60, rate: float = 0.25, l2: float = 1e-3) -> tuple[np.nda
         y = np.array([any(w in content for r in n.runs for w in _made(r)) for n in nodes], dtype=float)
         for i in range(len(nodes) - 1, 0, -1):  # a block around content is content
             y[parents[i]] = max(y[parents[i]], y[i])
-        data.append((parents, features(nodes), y))
-    w, pair = np.zeros(data[0][1].shape[1]), np.zeros((2, 2))
+        data.append((parents, features(nodes), names(nodes), y))
+    w, pair = np.zeros(DENSE + BUCKETS), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
         g, h = np.zeros(len(w)), np.zeros((2, 2))
-        for parents, x, y in data:
-            p, joint = marginals(parents, x @ w, pair)
-            g += x.T @ (y - p)
+        for parents, x, named, y in data:
+            p, joint = marginals(parents, odds(x, named, w), pair)
+            g[:DENSE] += x.T @ (y - p)
+            np.add.at(g, DENSE + named[1], (y - p)[named[0]])
             s = y[1:].astype(int)
             np.add.at(h, (y[parents[1:]].astype(int), s), 1.0)
             h -= joint
@@ -243,7 +280,7 @@ def extract(source: str | None, weights: tuple[np.ndarray, np.ndarray]) -> str:
     if not source:
         return ""
     nodes, runs = parse(source)
-    p, _ = marginals([n.parent for n in nodes], features(nodes) @ weights[0], weights[1])
+    p, _ = marginals([n.parent for n in nodes], odds(features(nodes), names(nodes), weights[0]), weights[1])
     return " ".join(run for i, run in runs if p[i] > 0.5)
 
 

@@ -374,7 +374,7 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sig = scratch.written(signatures(docs, words), "signatures")
     sized = sig.where("set_key is not null and doc_id is not null")
     copies = scratch.written(sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep"), "copies")
-    plain = scratch.written(sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes", lasting=True)
+    plain = scratch.written(sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes", lasting=True)
     entries = sized.join(copies, "set_key", "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("node"), "tag", "bands")
     # a doc_id with rows of different texts ties their classes together
     repeated = plain.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")

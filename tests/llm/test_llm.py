@@ -143,6 +143,69 @@ def test_extraction():
     assert extraction.extract(page, model) == "A & B First text here, it goes on. Second bold text."
     assert extraction.extract(None, model) == extraction.extract("", model) == ""
     extraction.extract("<div><p>" * 500 + "x" * 100_000, model)
+    long = "One two three, four five six. Seven eight nine ten, and more words to read."
+    inside = f"<body><article><header><h1>Title here</h1></header><p>{long}</p><p>{long}</p></article></body>"
+    assert extraction.extract(inside, model) == f"Title here {long} {long}"
+    talk = f"<body><article><h1>T</h1><p>{long}</p></article><section><ol class='feed'><li><p>Nice post!</p></li><li><p>I agree with all of it.</p></li></ol></section></body>"
+    assert extraction.extract(talk, model) == f"T {long}"
+    assert extraction.extract("<p>x<svg>" * 20_000, model).count("x") <= 20_000  # an end that is missing is looked for once
+
+
+def test_extraction_on_spark(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><article><h1>A</h1><p>Some words of the article, with a full stop.</p></article></body>"
+    rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, page, "x"), (3, None, page, "x"), (None, None, page, "x"), (4, "u", "<p>" + "long text. " * 50_000, "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
+    got = extraction.with_text(frame)
+    texts = sorted((r["page_id"] or 0, r["text"] or "") for r in got.collect())
+    want = "A Some words of the article, with a full stop."
+    assert texts[:5] == [(0, want), (1, ""), (2, ""), (3, want), (3, want)] and got.columns == [*frame.columns, "text"]
+    assert extraction.with_text(frame.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(12)
+    plain = lambda: " ".join(rng.choice("tree stone river walks under green".split()) for _ in range(8))
+    rows = [(i, ". ".join(plain() for _ in range(5)) + (" you are a vile creep" if i % 4 == 0 else "."), "en", "a", 1, "mine", "mine") for i in range(200)]
+    rows += [(None, None, None, None, None, None, None), (7, "a b", "en", "a", 3, "mine", "mine"), (7, "a b", "en", "a", 3, "mine", "mine")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _toxicity string, _quality string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(200)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    scored = {r["doc_id"]: r["s"] for r in toxicity.with_score(frame, toxicity.fit(frame, labels), "s").collect()}
+    assert min(scored[i] for i in range(0, 200, 4)) > 0.5 > max(scored[i] for i in range(1, 200, 4))
+    for only in (0, 1):
+        one = labels.where("doc_id is not null").selectExpr("doc_id", f"{only} as quality", f"{only} as toxic")
+        assert {r["s"] > 0.3 for r in quality.with_score(frame, quality.fit(frame, one), "s").collect()} == {bool(only)}
+    for fit, empty in ((toxicity.fit, labels.limit(0)), (quality.fit, labels.limit(0))):
+        fit(frame, empty)
+        fit(frame.limit(0), labels)
+
+
+def test_neardup_stage_keeps_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text, "a"), (5, text, "b"), (9, text, "c"), (None, text, "d"), (None, text, "d"), (7, "other words here", "e"), (7, "and still others", "f"), (8, None, "g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.stage(spark, frame, "").collect())
+    assert got == Counter({(5, text): 1, (None, text): 2, (7, "and still others"): 1, (8, None): 1})
+
+
+def test_neardup_of_repeated_ids(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"{k}x{rng.randrange(500)}" for _ in range(60)) for k in range(3)]
+    rows = [(1, base[0]), (2, base[0] + " end"), (2, base[1]), (3, base[1] + " end"), (4, base[2]), (4, base[2]), (None, base[2])]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
+def test_pipeline_on_a_table(spark):
+    import corpus_pipeline
+
+    frame = corpus_pipeline.run(spark, SF)
+    docs_ = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    e = pieces.encoder(pieces.default_model())
+    rows = frame.collect()
+    assert 0 < len({r["doc_id"] for r in rows}) <= len(docs_)
+    assert max(Counter(r["doc_id"] for r in rows).values()) <= 2
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == e.model.encode(docs_[r["doc_id"]] or "", add_bos=True, add_eos=True)
 
 
 def test_mixing_stage(spark):
