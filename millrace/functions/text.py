@@ -20,8 +20,10 @@ def glob_like(c: Column, pattern: str) -> Column:
 
 
 def path_glob(c: Column, pattern: str) -> Column:
-    """* within a segment, ** over segments; a pattern without / looks at the last segment."""
-    out = re.escape(pattern).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*")
+    """* and ? within a segment, ** over segments, [..] a set of characters; a pattern without / looks at the last segment."""
+    out = ""
+    for part in re.findall(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|.", pattern, re.S):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if len(part) > 1 else re.escape(part))
     return (c if "/" in pattern else F.element_at(F.split(c, "/"), -1)).rlike(f"^{out}$")
 
 

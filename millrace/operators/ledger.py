@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,10 +34,23 @@ def histogram(rows: DataFrame, key: str, value: str, bounds: list[float]) -> Dat
     return counts.selectExpr(key, f"stack({len(bounds) + 1}, {long}) as (le, n)")
 
 
-def exposition(samples: DataFrame, family: str, label: str, value: str) -> DataFrame:
-    """Text lines of a metric family; a repeated series is given once, the first by value."""
+def escaped(label: Column) -> Column:
+    """A label's value with backslash, quote and line feed escaped."""
+    return F.replace(F.replace(F.replace(label, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def number(value: Column) -> Column:
+    """A sample's value as text, with NaN, +Inf and -Inf for what is not finite."""
+    v = value.cast("double")
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "+Inf").when(v == float("-inf"), "-Inf").when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+
+def exposition(samples: DataFrame, family: str, label: str, value: str, kind: str = "counter", about: str = "") -> DataFrame:
+    """(at, line): a metric family's text, HELP and TYPE once before its series in order; a repeated series is given once, the least by value."""
     once = samples.groupBy(label).agg(F.min(value).alias("_v"))
-    return once.select(F.format_string(f'{family}{{{label}="%s"}} %s', F.col(label), F.col("_v").cast("string")).alias("line"))
+    lines = once.select(F.concat(F.lit(f'{family}{{{label}="'), escaped(F.col(label)), F.lit('"} '), number(F.col("_v"))).alias("line"))
+    head = samples.sparkSession.createDataFrame([(0, f"# HELP {family} {about}".rstrip()), (1, f"# TYPE {family} {kind}")], "at int, line string")
+    return head.union(lines.select(F.lit(2).alias("at"), "line"))
 
 
 def integer_median(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,29 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Summed from left to right in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Summed from left to right in double precision; null if widths differ, a vector is empty or a component is null."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """From -1 to 1; null for vectors that are zero, not finite, or not of one width."""
+    c = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+
 
+def normalized(a: Column) -> Column:
+    """The vector at length one; null for one that is empty, zero or not finite."""
+    length = norm(a)
+    return F.when((length > 0) & (length < float("inf")), F.transform(a, lambda x: x.cast("double") / length))
 
-def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
+
+def matches(metadata: dict[Column, object] | None = None, source: Column | None = None, source_prefix: str | None = None, document: Column | None = None, documents: Iterable | None = None) -> Column:
+    """A conjunction of metadata equality, a prefix of the source and a set of documents; a missing value excludes."""
+    parts = [c == v for c, v in (metadata or {}).items()]
+    parts += [F.startswith(source, F.lit(source_prefix))] if source_prefix else []
+    parts += [document.isin(*documents)] if documents is not None else []
+    out = F.lit(True)
+    for p in parts:
+        out = out & F.coalesce(p, F.lit(False))
+    return out
+
+
+def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, min_score: float | None = None) -> DataFrame:
     """The k most similar rows, ties by id; Spark keeps k rows a task, so nothing is sorted as a whole."""
     rows = vectors if where is None else vectors.where(where)
     q = F.array(*map(F.lit, map(float, query)))
-    return rows.select("vec_id", "label", F.round(cosine(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    scored = rows.select("vec_id", "label", F.round(cosine(F.col("embedding"), q), 6).alias("score")).where("score is not null")
+    return (scored if min_score is None else scored.where(F.col("score") >= min_score)).orderBy(F.desc("score"), "vec_id").limit(k)
+
 
+def nearest(lookups: DataFrame, entries: DataFrame, bucket: str, threshold: float, ratio: float | None = None, blocks: int = 32) -> DataFrame:
+    """(query_id, entry_id, score, hit): each lookup's best entry of its bucket but itself, or a miss.
 
-def nearest(lookups: DataFrame, entries: DataFrame, bucket: str, threshold: float) -> DataFrame:
-    """Each lookup's best entry of its bucket, or a miss. The best that fails the threshold is a miss, never the second best."""
-    l, e = lookups.select(F.col("vec_id").alias("query_id"), bucket, F.col("embedding").alias("q")), entries.select(F.col("vec_id").alias("entry_id"), bucket, "embedding")
-    scored = l.join(e, bucket).select("query_id", "entry_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("entry_id")).alias("first"))).alias("b"))
-    return best.select("query_id", (-F.col("b.first")).alias("entry_id"), F.col("b.score").alias("score"), (F.col("b.score") >= threshold).alias("hit"))
+    The best that fails the threshold, or whose size (if ratio is given) differs
+    by more than that factor, is a miss, never the second best. Entries are dealt
+    to blocks within their bucket and each block gives its best of a lookup, so a
+    hot bucket spreads over tasks; a lookup goes to every block.
+    """
+    extra = ["size"] if ratio else []
+    e = entries.select(F.col("vec_id").alias("entry_id"), bucket, "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), *[F.col(c).alias("entry_size") for c in extra])
+    l = lookups.select(F.col("vec_id").alias("query_id"), bucket, F.col("embedding").alias("q"), *[F.col(c).alias("query_size") for c in extra])
+    met = l.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(e, [bucket, "block"]).where("query_id <> entry_id")
+    scored = met.withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6)).where("score is not null")
+    best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("entry_id")).alias("first"), *[F.col(c) for c in (["query_size", "entry_size"] if ratio else [])])).alias("b"))
+    hit = F.col("b.score") >= threshold
+    if ratio:
+        a, b = F.col("b.query_size"), F.col("b.entry_size")
+        hit = hit & F.when((a == 0) | (b == 0), a == b).otherwise(F.greatest(a, b) <= ratio * F.least(a, b))
+    return best.select("query_id", (-F.col("b.first")).alias("entry_id"), F.col("b.score").alias("score"), hit.alias("hit"))

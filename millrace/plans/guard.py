@@ -1,29 +1,80 @@
-"""Read-only SQL over registered tables, with a row cap that says whether it cut."""
+"""Read-only SQL over registered views, with a row cap that says whether it cut."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: Functions that reach outside the tables.
-REFUSED = frozenset("java_method reflect try_reflect input_file_name read_files".split())
+#: Plan nodes of queries; whatever else the parser gives is no query.
+NODES = frozenset(
+    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedInlineTable "
+    "OneRowRelation WithWindowDefinition UnresolvedHaving Generate Window LateralJoin UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedHint Pivot Unpivot "
+    "Deduplicate UnionLoop UnionLoopRef LocalRelation".split()
+)
+#: Functions that reach outside the tables.
+REFUSED = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length read_files session_user current_user user".split())
+MOST_ROWS = 10_000
+
+
+def _each(seq) -> Iterator:
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _walk(plan, names: set[str]) -> Iterator[str]:
+    """Why a parsed plan may not run; names: views and common table expressions that it may read."""
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in NODES:
+        yield f"only queries may run, not {kind}"
+        return
+    if kind == "UnresolvedWith":
+        names = names | {alias.toLowerCase() if hasattr(alias, "toLowerCase") else str(alias).lower() for alias in (t._1() for t in _each(plan.cteRelations()))}
+    if kind == "UnresolvedRelation":
+        parts = [str(p).lower() for p in _each(plan.multipartIdentifier())]
+        if len(parts) != 1 or parts[0] not in names:
+            yield f"no such view: {'.'.join(parts)}"
+    if kind == "UnresolvedTableValuedFunction":
+        yield from _function([str(p) for p in _each(plan.name())])
+    for e in _each(plan.expressions()):
+        yield from _expression(e, names)
+    for below in (plan.children(), plan.innerChildren()):
+        for p in _each(below):
+            if hasattr(p, "children"):
+                yield from _walk(p, names)
+
+
+def _function(parts: list[str]) -> Iterator[str]:
+    if len(parts) != 1 or parts[0].lower() in REFUSED:
+        yield f"function {'.'.join(parts)} may not be called"
+
+
+def _expression(e, names: set[str]) -> Iterator[str]:
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        yield from _function([str(p) for p in _each(e.nameParts())])
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        yield from _walk(e.plan(), names)
+    for child in _each(e.children()):
+        yield from _expression(child, names)
 
 
 def refusal(spark: SparkSession, sql: str) -> str | None:
-    """Why a statement may not run; None if it may. Spark's own parser decides what it is."""
+    """Why a statement may not run; None if it may. Spark's own parser decides what it is; every node of its plan has to be a query's."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # noqa: BLE001
         return f"not a statement: {str(e).splitlines()[0]}"
-    text = plan.toString().lower()
-    kind = plan.getClass().getSimpleName()
-    if "command" in kind.lower() or kind.startswith(("Create", "Drop", "Insert", "Update", "Delete", "Merge", "Set", "Alter", "Truncate", "Describe", "Show", "Cache", "Explain")):
-        return f"only queries may run, not {kind}"
-    return next((f"function {f} may not be called" for f in sorted(REFUSED) if f"'{f}(" in text or f"{f}(" in text), None)
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    return next(_walk(plan, views), None)
 
 
-def guarded(spark: SparkSession, sql: str, max_rows: int = 1000, args: dict | None = None) -> tuple[DataFrame, bool]:
-    """The first max_rows rows, and whether there were more."""
+def guarded(spark: SparkSession, sql: str, max_rows: int = 1000, args: dict | list | None = None) -> tuple[DataFrame, bool]:
+    """At most max_rows rows, and whether there were more; the statement runs once, and a row beyond the cap tells."""
     if why := refusal(spark, sql):
         raise PermissionError(why)
+    most = max(1, min(max_rows, MOST_ROWS))
     rows = spark.sql(sql, args=args) if args else spark.sql(sql)
-    return rows.limit(max_rows), rows.limit(max_rows + 1).count() > max_rows
+    got = rows.limit(most + 1).collect()
+    return spark.createDataFrame(got[:most], rows.schema), len(got) > most

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.cron import next_runs
 from .operators import ledger, policy, vectors
 from .plans.guard import guarded
 from .sources import tables
@@ -50,10 +51,10 @@ def vec_topk_filtered(spark, sf):
 @query(f"""SELECT query_id, entry_id, score, score >= 0.35 AS hit FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS entry_id, {COSINE} AS score,
          row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS n
-  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) WHERE n = 1""")
+  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) WHERE n = 1""")
 def cache_nearest(spark, sf):
     e = table(spark, sf, "embeddings")
-    return vectors.nearest(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "label", 0.35)
+    return vectors.nearest(e.where("vec_id % 20 = 0"), e, "label", 0.35)
 
 
 @query("""SELECT user_id AS doc, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
@@ -64,19 +65,20 @@ def log_replay(spark, sf):
 
 
 @query("""SELECT CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN b.s IS NOT DISTINCT FROM a.s THEN 'unchanged' ELSE 'updated' END AS state, count(*) AS n
-  FROM (SELECT o_orderkey AS k, o_totalprice AS s FROM orders WHERE o_orderkey % 7 <> 0) b
-  FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS s FROM orders WHERE o_orderkey % 11 <> 0) a ON a.k = b.k GROUP BY 1""")
+  FROM (SELECT o_orderkey AS k, o_totalprice AS s FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01') b
+  FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01') a ON a.k = b.k GROUP BY 1""")
 def inventory_refresh(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("stamp"))
-    changed = F.when(F.col("o_orderkey") % 5 == 0, F.col("stamp") + 1).otherwise(F.col("stamp"))
-    return tables.refresh(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 11 <> 0").withColumn("stamp", changed), "o_orderkey", "stamp")
+    """Two listings of the orders: those before 1999, and later those from 1995 on, in which open ones have another price."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", F.col("o_totalprice").alias("stamp"))
+    changed = F.when(F.col("o_orderstatus") == "P", F.col("stamp") + 1).otherwise(F.col("stamp"))
+    return tables.refresh(o.where("o_orderdate < timestamp'1999-01-01'"), o.where("o_orderdate >= timestamp'1995-01-01'").withColumn("stamp", changed), "o_orderkey", "stamp")
 
 
-@query("""WITH up AS (SELECT doc_id, upper(source) AS source, n_chars FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH up AS (SELECT doc_id, upper(source) AS source, n_chars FROM documents WHERE lang <> 'en')
   SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM up) UNION ALL SELECT * FROM up) GROUP BY source""")
 def upsert_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    incoming = d.where("doc_id % 3 = 0").withColumn("source", F.upper("source"))
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang")
+    incoming = d.where("lang <> 'en'").withColumn("source", F.upper("source"))
     return tables.upsert(d, incoming, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -144,10 +146,11 @@ def value_histogram(spark, sf):
     return ledger.histogram(table(spark, sf, "events"), "event_type", "value", [10, 50, 100])
 
 
-@query("SELECT 'orders_total{status=\"' || o_orderstatus || '\"} ' || count(*)::VARCHAR AS line FROM orders GROUP BY o_orderstatus")
+@query("""SELECT 0 AS at, '# HELP orders_total Orders by status and a name that has to be escaped.' AS line UNION ALL SELECT 1, '# TYPE orders_total counter'
+  UNION ALL SELECT 2, 'orders_total{status="' || replace(replace(replace('a\\' || o_orderstatus || '"' || chr(10), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"} ' || count(*)::VARCHAR FROM orders GROUP BY o_orderstatus""")
 def metric_lines(spark, sf):
-    counts = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-    return ledger.exposition(counts, "orders_total", "status", "n")
+    counts = table(spark, sf, "orders").groupBy(F.concat(F.lit("a\\"), "o_orderstatus", F.lit('"\n')).alias("status")).agg(F.count("*").alias("n"))
+    return ledger.exposition(counts, "orders_total", "status", "n", about="Orders by status and a name that has to be escaped.")
 
 
 @query("""SELECT event_type, floor((min(v) + max(v)) / 2)::BIGINT AS median FROM (SELECT event_type, floor(value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY floor(value * 100)) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -166,10 +169,10 @@ def eviction_plan(spark, sf):
 _SQUEEZED = "trim(regexp_replace(text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'), ' ')"
 
 
-@query(f"SELECT sha256(role || chr(31) || {_SQUEEZED}) AS key, min(conv_id) AS first_conv, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT sha256(role || chr(31) || {_SQUEEZED}) AS key, min(conv_id) AS first_conv, count(*) AS n FROM conversations GROUP BY 1")
 def cache_keys(spark, sf):
     key = F.sha2(F.concat_ws("\x1f", "role", T.squeezed(F.col("text"))), 256)
-    return table(spark, sf, "conversations").groupBy(key.alias("key")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n")).where("n > 1")
+    return table(spark, sf, "conversations").groupBy(key.alias("key")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS shape, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id""")
@@ -190,13 +193,16 @@ def page_hosts(spark, sf):
     return table(spark, sf, "pages").groupBy(T.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-@query("""SELECT page_id, CASE WHEN a >= d THEN 'allow' ELSE 'disallow' END AS verdict FROM (SELECT page_id, CASE WHEN regexp_matches(p, '^/en/') THEN 4 ELSE 0 END AS a,
-  greatest(CASE WHEN regexp_matches(p, '^/.*\\?page=') THEN 8 ELSE -1 END, CASE WHEN regexp_matches(p, '^/.*5$') THEN 4 ELSE -1 END) AS d FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS p FROM pages))""")
+ROBOTS = [("/", True), ("/en/", True), ("/*?page=", False), ("/*5$", False), ("/fr/*1", False), ("/fr/", True)]
+
+
+@query("""WITH r(pattern, allow, rx) AS (VALUES ('/', true, '^/'), ('/en/', true, '^/en/'), ('/*?page=', false, '^/.*\\?page='), ('/*5$', false, '^/.*5$'), ('/fr/*1', false, '^/fr/.*1'), ('/fr/', true, '^/fr/'))
+  SELECT page_id, CASE WHEN coalesce(arg_max(allow, length(pattern) * 2 + allow::INTEGER), true) THEN 'allow' ELSE 'disallow' END AS verdict
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS p FROM pages) LEFT JOIN r ON regexp_matches(p, rx) GROUP BY page_id""")
 def robots_verdicts(spark, sf):
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^#]*)", 1)
-    length = lambda p: F.when(path.rlike(T.robots_pattern(p)), len(p))
-    allow, deny = F.coalesce(length("/en/"), F.lit(0)), F.greatest(F.coalesce(length("/*?page="), F.lit(-1)), F.coalesce(length("/*5$"), F.lit(-1)))
-    return table(spark, sf, "pages").select("page_id", F.when(allow >= deny, "allow").otherwise("disallow").alias("verdict"))
+    """The longest pattern that matches a path decides, of equally long ones that which allows; rules are a table."""
+    rules = spark.createDataFrame([(p, a, T.robots_pattern(p)) for p, a in ROBOTS], "pattern string, allow boolean, rx string")
+    return policy.longest_match(table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^#]*)", 1).alias("path")), "page_id", rules)
 
 
 @query("""SELECT doc_id, i::INTEGER AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '(?i)licensed under|all rights')""")
@@ -220,10 +226,7 @@ def composite_keys(spark, sf):
 
 @query("""SELECT event_id, (date_trunc('hour', ts) + INTERVAL 1 MINUTE * (CASE WHEN minute(ts) < 5 THEN 5 WHEN minute(ts) < 25 THEN 25 WHEN minute(ts) < 45 THEN 45 ELSE 65 END))::TIMESTAMP AS next_run FROM events""")
 def next_run(spark, sf):
-    """The next moment of the schedule `5/20 * * * *`, strictly after the event's minute."""
-    minutes = list(range(5, 60, 20))
-    later = F.coalesce(*[F.when(F.minute("ts") < m, F.lit(m)) for m in minutes], F.lit(60 + minutes[0]))
-    return table(spark, sf, "events").select("event_id", F.timestamp_add("MINUTE", later, F.date_trunc("hour", "ts")).alias("next_run"))
+    return next_runs(table(spark, sf, "events").select("event_id", "ts"), "ts", "5/20 * * * *").drop("ts")
 
 
 _PRICING = """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
@@ -243,11 +246,25 @@ def nation_revenue(spark, sf):
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@query()
+_SEEN = "e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_SEEN}, d AS (SELECT user_id, n, event_id, t, 0::BIGINT AS suppressed FROM e WHERE n = 1 UNION ALL SELECT user_id, n, event_id, t, suppressed FROM (
+  SELECT e.user_id, e.n, e.event_id, e.t, e.n - d.n - 1 AS suppressed, row_number() OVER (PARTITION BY d.user_id, d.n ORDER BY e.n) AS k FROM d JOIN e ON e.user_id = d.user_id AND e.n > d.n AND e.t >= d.t + 21600000) WHERE k = 1)
+  SELECT user_id, event_id, suppressed FROM d""")
 def throttle_users(spark, sf):
     return throttle.throttled(table(spark, sf, "events"), 6 * 3_600_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SEEN}, b AS (SELECT user_id, n, event_id, t, 3000::BIGINT AS had FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.n, e.event_id, e.t, least(3000, CASE WHEN b.had >= 1000 THEN b.had - 1000 ELSE b.had END + least(greatest(e.t - b.t, 0), 86400000) * 3000 // 86400000) FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+  SELECT user_id, event_id, had >= 1000 AS admitted, CASE WHEN had >= 1000 THEN 0 ELSE greatest(1, ((1000 - had) * 86400000 + 2999) // 3000) END::BIGINT AS retry_ms FROM b""")
 def rate_limit_users(spark, sf):
     return throttle.rate_limited(table(spark, sf, "events"), 3, 24 * 3_600_000)
+
+
+@query(f"""WITH RECURSIVE {_SEEN}, w AS (SELECT user_id, n, event_id, t, t AS start, 0::BIGINT AS had FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.n, e.event_id, e.t, CASE WHEN e.t - w.start >= 43200000 THEN e.t ELSE w.start END, CASE WHEN e.t - w.start >= 43200000 THEN 0 ELSE least(2, w.had + 1) END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+  SELECT user_id, event_id, had < 2 AS admitted FROM w""")
+def fixed_window_users(spark, sf):
+    return throttle.fixed_windows(table(spark, sf, "events"), 2, 12 * 3_600_000)

@@ -1,8 +1,12 @@
-"""Keyed state over event streams: throttling and token buckets, as replay of a batch or as a stream."""
+"""Keyed state over event streams: throttling and token buckets, as replay of a batch or as a stream.
+
+A replay sorts each key's events within its partition and carries one small
+state from row to row, so a key of any size needs no more memory than another.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,63 +14,110 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 THROTTLE = "user_id long, event_id long, suppressed long"
 BUCKET = "user_id long, event_id long, admitted boolean, retry_ms long"
+FIXED = "user_id long, event_id long, admitted boolean"
+Step = Callable[[tuple | None, int], tuple[tuple, tuple | None]]
+
+
+def throttle_step(window_ms: int) -> Step:
+    """State (last delivery, count since): the first event of a key and each a window after the last delivery are delivered."""
+
+    def step(state: tuple | None, now: int) -> tuple[tuple, tuple | None]:
+        last, count = state or (None, 0)
+        if last is None or now - last >= window_ms:
+            return (now, 0), (count,)
+        return (last, count + 1), None
+
+    return step
+
+
+def bucket_step(requests: int, window_ms: int) -> Step:
+    """State (thousandths of a token, moment): a new key starts full, a refused event learns when to try again."""
+    capacity = requests * 1000
 
+    def step(state: tuple | None, now: int) -> tuple[tuple, tuple | None]:
+        tokens, updated = state or (capacity, now)
+        tokens = min(capacity, tokens + min(max(now - updated, 0), window_ms) * capacity // window_ms)
+        if tokens >= 1000:
+            return (tokens - 1000, now), (True, 0)
+        return (tokens, now), (False, max(1, -(-(1000 - tokens) * window_ms // capacity)) if capacity else window_ms)
 
-def _deliver(rows: Iterator[tuple[int, int]], last: int | None, count: int, window_ms: int) -> tuple[list[tuple[int, int]], int | None, int]:
-    out = []
-    for event, at in rows:
-        if last is None or at - last >= window_ms:
-            out.append((event, count))
-            last, count = at, 0
-        else:
-            count += 1
-    return out, last, count
+    return step
+
+
+def fixed_step(requests: int, window_ms: int) -> Step:
+    """State (start, count): a window restarts at the first call at or after its end; refused calls don't count."""
+
+    def step(state: tuple | None, now: int) -> tuple[tuple, tuple | None]:
+        start, count = state or (now, 0)
+        if now - start >= window_ms:
+            start, count = now, 0
+        return ((start, count + 1), (True,)) if count < requests else ((start, count), (False,))
+
+    return step
 
 
 def _ms(ts: pd.Series) -> pd.Series:
     return ts.astype("datetime64[us]").astype("int64") // 1000
 
 
-def throttled(events: DataFrame, window_ms: int) -> DataFrame:
-    """For each user the events that are delivered, at most one a window, each with the number dropped before it."""
+def replayed(events: DataFrame, step: Step, schema: str) -> DataFrame:
+    """What the step gives for each user's events in order of time."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        out, _, _ = _deliver(zip(pdf["event_id"], _ms(pdf["ts"]), strict=True), None, 0, window_ms)
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "event_id": [e for e, _ in out], "suppressed": [n for _, n in out]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, None
+        for pdf in batches:
+            out = []
+            for u, e, now in zip(pdf["user_id"], pdf["event_id"], _ms(pdf["ts"]), strict=True):
+                if u != user:
+                    user, state = u, None
+                state, said = step(state, now)
+                if said is not None:
+                    out.append((u, e, *said))
+            yield pd.DataFrame(out, columns=names)
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(replay, THROTTLE)
+    return events.where("user_id is not null").select("user_id", "event_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, schema)
 
 
-def throttled_stream(events: DataFrame, window_ms: int) -> DataFrame:
-    """The same over a stream; state is the last delivery and the count since."""
+def streamed(events: DataFrame, step: Step, schema: str, state: str, forget_ms: int) -> DataFrame:
+    """The same over a stream; a key's state goes when nothing has come for forget_ms of processing time."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count = state.get if state.exists else (None, 0)
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now_state, out = tuple(held.get) if held.exists else None, []
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, last, count = _deliver(zip(pdf["event_id"], _ms(pdf["ts"]), strict=True), last, count, window_ms)
-        state.update((int(last), count))
-        yield pd.DataFrame({"user_id": key[0], "event_id": [e for e, _ in out], "suppressed": [n for _, n in out]})
+        for e, now in zip(pdf["event_id"], _ms(pdf["ts"]), strict=True):
+            now_state, said = step(now_state, int(now))
+            if said is not None:
+                out.append((key[0], e, *said))
+        held.update(tuple(int(x) for x in now_state))
+        held.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame(out, columns=names)
+
+    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def throttled(events: DataFrame, window_ms: int) -> DataFrame:
+    """For each user the events that are delivered, at most one a window, each with the number dropped before it."""
+    return replayed(events, throttle_step(window_ms), THROTTLE)
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, THROTTLE, "last long, count long", "append", GroupStateTimeout.NoTimeout)
+
+def throttled_stream(events: DataFrame, window_ms: int) -> DataFrame:
+    return streamed(events, throttle_step(window_ms), THROTTLE, "last long, count long", max(60_000, 8 * window_ms))
 
 
 def rate_limited(events: DataFrame, requests: int, window_ms: int) -> DataFrame:
-    """Token buckets in thousandths of a token: a new key starts full, a refused event learns when to try again."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        capacity, out = requests * 1000, []
-        tokens, updated = capacity, None
-        for event, now in zip(pdf["event_id"], _ms(pdf["ts"]), strict=True):
-            if updated is not None:
-                tokens = min(capacity, tokens + min(max(now - updated, 0), window_ms) * capacity // window_ms)
-            updated = now
-            if tokens >= 1000:
-                tokens -= 1000
-                out.append((event, True, 0))
-            else:
-                out.append((event, False, max(1, -(-(1000 - tokens) * window_ms // capacity)) if capacity else window_ms))
-        return pd.DataFrame(out, columns=["event_id", "admitted", "retry_ms"]).assign(user_id=pdf["user_id"].iloc[0])[["user_id", "event_id", "admitted", "retry_ms"]]
-
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(replay, BUCKET)
+    """Token buckets in thousandths of a token."""
+    return replayed(events, bucket_step(requests, window_ms), BUCKET)
+
+
+def rate_limited_stream(events: DataFrame, requests: int, window_ms: int) -> DataFrame:
+    """A bucket that nobody has touched for a window is full again, so forgetting it loses nothing."""
+    return streamed(events, bucket_step(requests, window_ms), BUCKET, "tokens long, updated long", window_ms)
+
+
+def fixed_windows(events: DataFrame, requests: int, window_ms: int) -> DataFrame:
+    return replayed(events, fixed_step(requests, window_ms), FIXED)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import cron
 from millrace.functions.chunks import chunks
+from millrace.functions.text import path_glob
+from millrace.operators import vectors
 from millrace.plans.guard import guarded, refusal
 from millrace.registry import ORACLE_SQL, QUERIES
 from millrace.streaming import throttle
@@ -66,12 +68,49 @@ def test_guard(spark):
     df, cut = guarded(spark, "SELECT id FROM five", 3)
     assert df.count() == 3 and cut
     assert not guarded(spark, "SELECT id FROM five", 5)[1]
-    for bad in ("DROP VIEW five", "CREATE TABLE x AS SELECT 1", "nonsense", "SET a=b"):
-        assert refusal(spark, bad)
+    for bad in (
+        "DROP VIEW five", "CREATE TABLE x AS SELECT 1", "nonsense", "SET a=b", "WITH x AS (SELECT 99L AS id) INSERT INTO five SELECT * FROM x", "INSERT INTO five VALUES (1)", "REFRESH TABLE five",
+        "ANALYZE TABLE five COMPUTE STATISTICS", "SELECT * FROM text.`/etc/passwd`", "SELECT * FROM parquet.`/x`", "SELECT reflect('java.lang.System', 'exit')", "SELECT id FROM five WHERE id IN (SELECT * FROM csv.`/x`)",
+        "SELECT (SELECT max(id) FROM other)", "SHOW TABLES", "SELECT id FROM five; SELECT 1", "FROM five INSERT OVERWRITE five SELECT *", "SELECT * FROM five UNION SELECT * FROM json.`/x`", "WITH a AS (SELECT * FROM orc.`/x`) SELECT * FROM a",
+    ):
+        assert refusal(spark, bad), bad
+    for good in ("SELECT 'reflect('", "WITH a AS (SELECT id FROM five), b AS (SELECT id + 1 AS i FROM a) SELECT * FROM b WHERE EXISTS (SELECT 1 FROM five WHERE id = i)", "SELECT count(*) OVER () FROM five ORDER BY 1 LIMIT 2 OFFSET 1", "SELECT * FROM (VALUES (1), (2)) AS t(x) JOIN five ON x = id"):
+        assert refusal(spark, good) is None, good
+        guarded(spark, good)
+    assert guarded(spark, "SELECT id FROM five WHERE id < :most", 9, {"most": 2})[0].count() == 2
     with pytest.raises(PermissionError):
         guarded(spark, "DROP VIEW five")
 
 
+def test_streams_equal_replay(spark, tmp_path):
+    events = spark.range(0, 300).selectExpr("id % 7 as user_id", "id as event_id", "timestamp_millis(1700000000000 + id * 1700) as ts")
+    for k in range(3):
+        events.where(f"event_id div 100 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    for name, stream, batch in (("t", throttle.throttled_stream(_stream(spark, tmp_path), 30_000), throttle.throttled(events, 30_000)), ("b", throttle.rate_limited_stream(_stream(spark, tmp_path), 2, 60_000), throttle.rate_limited(events, 2, 60_000))):
+        q = stream.writeStream.format("memory").queryName(f"stream_{name}").option("checkpointLocation", f"{tmp_path}/c{name}").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted(map(tuple, spark.table(f"stream_{name}").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def _stream(spark, tmp_path):
+    return spark.readStream.schema("user_id long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+
+def test_vectors_out_of_order(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, []), (7, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    assert [(r["vec_id"], r["score"]) for r in vectors.top_k(frame, [1.0, 0.0], 9).collect()] == [(0, 1.0), (5, 1.0), (7, 0.0)]
+    assert [r["vec_id"] for r in vectors.top_k(frame, [1.0, 0.0], 9, min_score=0.5).collect()] == [0, 5]
+    assert [r["n"] for r in frame.orderBy("vec_id").select(vectors.normalized(F.col("embedding")).alias("n")).collect()] == [[1.0, 0.0], None, None, [1.0], None, [1.0, 0.0], None, [0.0, 1.0]]
+
+
+def test_path_globs(spark):
+    paths = spark.createDataFrame([("src/a.rs",), ("src/deep/b.rs",), ("a.py",), ("src/c1.rs",)], "p string")
+    hits = lambda g: sorted(r["p"] for r in paths.where(path_glob(F.col("p"), g)).collect())
+    assert hits("*.rs") == ["src/a.rs", "src/c1.rs", "src/deep/b.rs"] and hits("src/*.rs") == ["src/a.rs", "src/c1.rs"] and hits("src/**/*.rs") == ["src/a.rs", "src/c1.rs", "src/deep/b.rs"]
+    assert hits("?.py") == ["a.py"] and hits("c[0-9].rs") == ["src/c1.rs"] and hits("[!a].rs") == ["src/deep/b.rs"]
+
+
 @pytest.mark.parametrize("schedule, at, want", [
     ("5/20 * * * *", "2024-03-04 08:06:00", "2024-03-04 08:25:00"),
     ("0 8-14/2 * * *", "2024-03-04 09:00:00", "2024-03-04 10:00:00"),
