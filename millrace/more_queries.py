@@ -96,5 +96,12 @@ def schedule_either_day(spark, sf):
 
 @query()
 def document_chunks(spark, sf):
-    """Passages of every document; the tests pack by brute force."""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), 1200, 2000)).alias("chunk_no", "chunk"))
+    """Passages of every document with their headings and lines; the tests hold them against the packing written out."""
+    cut = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "c"))
+    return cut.select("doc_id", "chunk_no", "c.*")
+
+
+@query("""SELECT doc_id, count(*) AS paragraphs, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS p FROM documents) WHERE trim(p, ' ') <> '' GROUP BY 1""")
+def paragraphs(spark, sf):
+    p = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\n[ \t]*\n")).alias("p")).where(F.trim("p") != "")
+    return p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("p")).alias("chars"))

@@ -246,7 +246,7 @@ def nation_revenue(spark, sf):
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-_SEEN = "e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+_SEEN = "e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 
 
 @query(f"""WITH RECURSIVE {_SEEN}, d AS (SELECT user_id, n, event_id, t, 0::BIGINT AS suppressed FROM e WHERE n = 1 UNION ALL SELECT user_id, n, event_id, t, suppressed FROM (

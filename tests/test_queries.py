@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import cron
-from millrace.functions.chunks import chunks
+from millrace.functions.chunks import passages
 from millrace.functions.text import path_glob
 from millrace.operators import vectors
 from millrace.plans.guard import guarded, refusal
@@ -131,22 +131,29 @@ def test_bad_fields():
             cron.field(bad, 0, 59)
 
 
-def packed(text, target, most):
-    units = [p[i : i + most] for p in re.split(r"\n[ \t]*\n", text or "") if p.strip(" ") for i in range(0, len(p), most)]
-    out = []
-    for u in units:
-        if out and len(out[-1]) + 2 + len(u) <= target:
-            out[-1] += "\n\n" + u
-        else:
-            out.append(u)
-    return out
+def test_passages_of_a_text():
+    long = " ".join(f"Sentence number {i} says a little." for i in range(40))
+    text = f"# Top\n\nIntro words here.\n\n## Part one\n\n{long}\n\n```python\n# no heading\n\nx = 1\n```\n\nSub\n---\nTail paragraph.\n\n### Last"
+    got = passages(text, 400, 80, 500)
+    assert all(len(p["text"]) <= 500 for p in got)
+    assert got[0]["text"] == "# Top\n\nIntro words here." and got[0]["breadcrumb"] == "Top"
+    assert got[1]["text"].startswith("## Part one\n\nSentence number 0") and got[1]["breadcrumb"] == "Top > Part one" and got[1]["split"] == "sentence"
+    fence = next(p for p in got if "x = 1" in p["text"])
+    assert "```python\n# no heading\n\nx = 1\n```" in fence["text"]
+    assert got[-1]["text"].endswith("Sub\n---\n\nTail paragraph.\n\n### Last")
+    assert {f"Sentence number {i} says a little." for i in range(40)} <= {s + "." for p in got for s in re.findall(r"Sentence number \d+ says a little", p["text"])}
+    assert passages(None) == passages(" \n\n ") == [] and [p["split"] for p in passages("x" * 300, 64, 0, 100)] == ["cut"] * 3
+    with pytest.raises(ValueError):
+        passages("a", 100, 100, 200)
 
 
-def test_chunks(spark):
+def test_passages_keep_all_words(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {}
     for r in QUERIES["document_chunks"](spark, SF).orderBy("doc_id", "chunk_no").collect():
-        got.setdefault(r["doc_id"], []).append(r["chunk"])
-    assert got == {i: c for i, t in docs.items() if (c := packed(t, 1200, 2000))}
-    small = spark.createDataFrame([(0, None), (1, ""), (2, " \n\n "), (3, "a\n\nb\n \nc" + "d" * 9)], "i long, t string")
-    assert [r["c"] for r in small.select("i", chunks(F.col("t"), 4, 5).alias("c")).orderBy("i").collect()] == [None, [], [], ["a\n\nb", "cdddd", "ddddd"]]
+        assert 0 < len(r["text"]) <= 2400 and r["first_line"] <= r["last_line"]
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for i, t in docs.items():
+        left = Counter(t.split())
+        left.subtract(w for c in got.get(i, []) for w in c.split())
+        assert max(left.values(), default=0) <= 0 or len(t.split()) < len(" ".join(got[i]).split()) + 3, i
