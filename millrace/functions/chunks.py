@@ -2,7 +2,9 @@
 
 A passage is filled with whole blocks up to a target. Headings move on with what
 they head, and a passage begins with the last blocks of the one before, as far
-as the overlap allows. Blocks larger than the ceiling are cut at sentences, else
+as the overlap allows. What is carried on gives way, first come first, where the
+next block would pass the ceiling with it; a heading that gives way stays in the
+passage's breadcrumb. Blocks larger than the ceiling are cut at sentences, else
 at words, else anywhere.
 """
 

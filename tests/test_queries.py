@@ -137,7 +137,7 @@ def test_passages_of_a_text():
     got = passages(text, 400, 80, 500)
     assert all(len(p["text"]) <= 500 for p in got)
     assert got[0]["text"] == "# Top\n\nIntro words here." and got[0]["breadcrumb"] == "Top"
-    assert got[1]["text"].startswith("## Part one\n\nSentence number 0") and got[1]["breadcrumb"] == "Top > Part one" and got[1]["split"] == "sentence"
+    assert got[1]["text"].startswith("Sentence number 0") and got[1]["breadcrumb"] == "Top > Part one" and got[1]["split"] == "sentence"
     fence = next(p for p in got if "x = 1" in p["text"])
     assert "```python\n# no heading\n\nx = 1\n```" in fence["text"]
     assert got[-1]["text"].endswith("Sub\n---\n\nTail paragraph.\n\n### Last")
