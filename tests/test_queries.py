@@ -142,7 +142,7 @@ def test_passages_of_a_text():
     assert "```python\n# no heading\n\nx = 1\n```" in fence["text"]
     assert got[-1]["text"].endswith("Sub\n---\n\nTail paragraph.\n\n### Last")
     assert {f"Sentence number {i} says a little." for i in range(40)} <= {s + "." for p in got for s in re.findall(r"Sentence number \d+ says a little", p["text"])}
-    assert passages(None) == passages(" \n\n ") == [] and [p["split"] for p in passages("x" * 300, 64, 0, 100)] == ["cut"] * 3
+    assert passages(None) == passages(" \n\n ") == [] and [p["split"] for p in passages("x" * 300, 64, 0, 100)] == ["cut", "cut", "word"]
     with pytest.raises(ValueError):
         passages("a", 100, 100, 200)
 
