@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HORIZON_DAYS = 1500
+# Names of months and days, and short forms of whole schedules.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+DAYS = "sun mon tue wed thu fri sat".split()
+SHORT = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
+
+
+def named(text: str, names: list[str], first: int) -> str:
+    """A field with names as numbers."""
+    return re.sub(r"[a-z]{3}", lambda m: str(names.index(m[0]) + first) if m[0] in names else m[0], text.lower())
 
 
 def field(text: str, low: int, high: int) -> list[int]:
@@ -28,7 +39,8 @@ def next_runs(rows: DataFrame, at: str, schedule: str) -> DataFrame:
     If both day fields are restricted, either suffices. Days are looked up once
     for each date that occurs.
     """
-    minute, hour, day, month, week = schedule.split()
+    minute, hour, day, month, week = SHORT.get(schedule.strip().lower(), schedule).split()
+    month, week = named(month, MONTHS, 1), named(week, DAYS, 0)
     times = [h * 60 + m for h in field(hour, 0, 23) for m in field(minute, 0, 59)]
     days, months, weekdays = field(day, 1, 31), field(month, 1, 12), {d % 7 for d in field(week, 0, 7)}
 

@@ -112,13 +112,13 @@ def embedding_answers(spark, sf):
     return v.select("label", F.size(F.array_distinct(F.transform("d", lambda x: F.size(x["embedding"])))).alias("widths"), F.get("d", F.lit(0))["index"].alias("first"), F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.get(x["embedding"], F.lit(0))), 4).alias("s"))
 
 
-@query("""SELECT c_custkey, list_sort([m FOR m IN [CASE WHEN c_custkey % 2 = 0 THEN 'privileged' END, CASE WHEN c_custkey % 3 = 0 THEN 'host network' END, CASE WHEN c_mktsegment LIKE 'B%' THEN 'writable mount' END] IF m IS NOT NULL]) AS findings FROM customer WHERE c_name LIKE '%5' OR c_mktsegment = 'BUILDING'""")
+@query("""SELECT c_custkey, array_to_string(list_sort([m FOR m IN [CASE WHEN c_custkey % 2 = 0 THEN 'privileged' END, CASE WHEN c_custkey % 3 = 0 THEN 'host network' END, CASE WHEN c_mktsegment LIKE 'B%' THEN 'writable mount' END] IF m IS NOT NULL]), ',') AS findings FROM customer WHERE c_name LIKE '%5' OR c_mktsegment = 'BUILDING'""")
 def security_notes(spark, sf):
     """Findings on the containers that a list of names or a label makes visible."""
     k = F.col("c_custkey")
     rules = [("privileged", k % 2 == 0), ("host network", k % 3 == 0), ("writable mount", F.startswith("c_mktsegment", F.lit("B")))]
     visible = T.glob_like(F.col("c_name"), "*5") | (F.element_at(F.create_map(F.lit("segment"), F.col("c_mktsegment")), "segment") == "BUILDING")
-    return table(spark, sf, "customer").where(visible).select(k, F.array_sort(F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))).alias("findings"))
+    return table(spark, sf, "customer").where(visible).select(k, F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))), ",").alias("findings"))
 
 
 @query("""SELECT ref, CASE WHEN exact = 1 THEN 'found' WHEN exact > 1 THEN 'ambiguous' WHEN begins = 1 THEN 'found' WHEN begins > 1 THEN 'ambiguous' ELSE 'none' END AS state, CASE WHEN exact = 1 THEN e WHEN exact = 0 AND begins = 1 THEN b END AS part FROM (

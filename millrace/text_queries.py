@@ -73,13 +73,13 @@ def http_outcomes(spark, sf):
     return table(spark, sf, "events").groupBy(P.http_outcome(F.col("event_id") % 500 + 100).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, length(t) AS chars, t AS text, n.t2 AS tags FROM (SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || chr(1), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), ' ' || chr(9) || chr(10)), 400) AS t, source, lang FROM documents) d,
+@query("""SELECT doc_id, length(t) AS chars, t AS text, array_to_string(n.t2, ',') AS tags FROM (SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || chr(1), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), ' ' || chr(9) || chr(10)), 400) AS t, source, lang FROM documents) d,
   LATERAL (SELECT list_slice(list_sort(list_distinct([x FOR x IN [lower(source), lower(lang), regexp_replace(lower('A b!' || source), '[^a-z0-9\\-_./]', '', 'g')] IF x <> ''])), 1, 2) AS t2) n""")
 def sanitized_notes(spark, sf):
     d = table(spark, sf, "documents")
     text = W.sanitized(F.concat("text", F.lit("\r\n\x01")), 400)
     tags = W.tag_set(F.array("source", "lang", F.concat(F.lit("A b!"), "source"), F.lit("!!")), 2)
-    return d.select("doc_id", text.alias("text"), F.length(text).cast("bigint").alias("chars"), tags.alias("tags"))
+    return d.select("doc_id", text.alias("text"), F.length(text).cast("bigint").alias("chars"), F.array_join(tags, ",").alias("tags"))
 
 
 @query("""SELECT doc_id, length(text) > 900 AS cut, CASE WHEN length(text) <= 900 THEN text ELSE rtrim(CASE WHEN gap > 0 AND (gap - 1) * 4 >= 2700 THEN left(text, gap - 1) ELSE left(text, 900) END) END AS head
@@ -89,12 +89,12 @@ def truncated_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t["cut"].alias("cut"), t["text"].alias("head"))
 
 
-@query("""SELECT s_suppkey, 'http://user:***@' || lower(s_name) || '/x' AS url, ['--token', '***', '--api-key=***', '-v', s_name] AS arguments FROM supplier""")
+@query("""SELECT s_suppkey, 'http://user:***@' || lower(s_name) || '/x' AS url, '--token *** --api-key=*** -v ' || s_name AS arguments FROM supplier""")
 def redacted(spark, sf):
     s = table(spark, sf, "supplier")
     url = W.redacted_url(F.concat(F.lit("http://user:p"), F.col("s_suppkey").cast("string"), F.lit("@"), F.lower("s_name"), F.lit("/x")))
     arguments = F.array(F.lit("--token"), "s_name", F.concat(F.lit("--api-key="), "s_name"), F.lit("-v"), F.col("s_name"))
-    return s.select("s_suppkey", url.alias("url"), W.redacted_arguments(arguments, P.secret_name).alias("arguments"))
+    return s.select("s_suppkey", url.alias("url"), F.array_join(W.redacted_arguments(arguments, P.secret_name), " ").alias("arguments"))
 
 
 @query("""SELECT doc_id, pos, CASE WHEN s > 1 THEN '…' ELSE '' END || substring(text, s, 60) || CASE WHEN length(text) >= s + 60 THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'licen')::INTEGER AS pos, greatest(instr(lower(text), 'licen') - 20, 1) AS s FROM documents) WHERE pos > 0""")
@@ -129,11 +129,11 @@ def listed_parts(spark, sf):
     return g.select("l_orderkey", W.listed(F.transform("p", lambda x: x["l_partkey"].cast("string")), 3).alias("parts"))
 
 
-@query("SELECT p_partkey, list_sort(list_distinct(list_concat(range(p_size, p_size + 4), [p_size + 2, 99]))) AS pages FROM part")
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(range(p_size, p_size + 4), [p_size + 2, 99]))), ',') AS pages FROM part")
 def page_selections(spark, sf):
     n = lambda k: (F.col("p_size") + k).cast("string")
     text = F.concat(n(0), F.lit("-"), n(3), F.lit(", "), n(2), F.lit(",99,x,9-1"))
-    return table(spark, sf, "part").select("p_partkey", F.transform(W.page_numbers(text), lambda x: x.cast("bigint")).alias("pages"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(W.page_numbers(text), lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("""SELECT n, count(*) AS docs FROM (SELECT trim(regexp_replace(lower(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', '', 'g')), '\\s+', ' ', 'g')) AS t, count(*) AS n FROM conversations GROUP BY 1) GROUP BY n""")

@@ -87,8 +87,9 @@ def test_streams_equal_replay(spark, tmp_path):
     for k in range(3):
         events.where(f"event_id div 100 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     for name, stream, batch in (("t", throttle.throttled_stream(_stream(spark, tmp_path), 30_000), throttle.throttled(events, 30_000)), ("b", throttle.rate_limited_stream(_stream(spark, tmp_path), 2, 60_000), throttle.rate_limited(events, 2, 60_000))):
-        q = stream.writeStream.format("memory").queryName(f"stream_{name}").option("checkpointLocation", f"{tmp_path}/c{name}").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = stream.writeStream.format("memory").queryName(f"stream_{name}").option("checkpointLocation", f"{tmp_path}/c{name}").start()
+        q.processAllAvailable()
+        q.stop()
         assert sorted(map(tuple, spark.table(f"stream_{name}").collect())) == sorted(map(tuple, batch.collect()))
 
 
@@ -119,6 +120,8 @@ def test_path_globs(spark):
     ("0 12 13 * 5", "2024-09-12 12:00:00", "2024-09-13 12:00:00"),
     ("0 12 13 * 5", "2024-09-13 12:00:00", "2024-09-20 12:00:00"),
     ("0 0 30 2 *", "2024-01-01 00:00:00", None),
+    ("@weekly", "2024-03-04 08:06:00", "2024-03-10 00:00:00"),
+    ("30 9 * Feb-Mar Mon-Fri", "2024-03-29 09:30:00", "2025-02-03 09:30:00"),
 ])
 def test_schedule(spark, schedule, at, want):
     row = cron.next_runs(spark.createDataFrame([(at,)], "at string").selectExpr("cast(at as timestamp) as at"), "at", schedule).selectExpr("cast(next_run as string) as n").first()
