@@ -82,57 +82,62 @@ def lexicon(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONEST) -
 
 
 class Lexicon:
-    """The terms of the band; a task's copy remembers which words are in it."""
+    """The terms of the band and their subsets; a task's copy remembers the places of words among the terms, -1 for words outside."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms, self.known = terms, {}
+        self.terms, self.subsets, self.known = terms, subsets(terms), {}
 
     def fingerprint(self, text: str | None) -> np.ndarray:
         """One hash for each subset of the lexicon."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, words = self.known, set(_WORD.findall((text or "").lower()))
-        if new := [w for w in words if w not in known]:
+        if new := list(words.difference(known)):
             h = np.fromiter(map(_term, new), np.int64, len(new))
             at = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
             inside = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
-            known.update(zip(new, np.where(inside, h, -1).tolist(), strict=True))
-        found = np.fromiter((known[w] for w in words), np.int64, len(words))
+            known.update(zip(new, np.where(inside, at, -1).tolist(), strict=True))
+        found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         found = np.sort(found[found >= 0])
         if words and not len(found):
             return np.full(len(RATES) * EACH, xxhash.xxh64_intdigest("\n".join(sorted(words))) | 1, np.uint64)
-        return hashed(found)
+        return hashed(self.terms[found], self.subsets[:, found])
 
 
-def hashed(terms: np.ndarray) -> np.ndarray:
-    """One hash for each subset, from the sorted hashes of a text's terms in the band."""
-    h = terms.astype(np.uint64)
-    out = np.zeros((len(RATES), EACH), np.uint64)
+def subsets(terms: np.ndarray) -> np.ndarray:
+    """A row for each draw: the number of the subset that each term falls in, -1 for none."""
+    h, rows = terms.astype(np.uint64), []
     with np.errstate(over="ignore"):
         for level, rate in enumerate(RATES):
             for first in range(0, EACH, 1 << rate):
-                cell = (_mix(h + np.uint64(1 + (rate << 8 | first)) * _M) >> np.uint64(64 - rate)).astype(np.intp) + first
-                some = np.flatnonzero(cell < EACH)
-                order = some[np.argsort(cell[some], kind="stable")]  # terms stay sorted within a subset
-                ends = np.cumsum(np.bincount(cell[order], minlength=EACH)) * 8
-                raw, at = h[order].tobytes(), 0
-                for k, end in enumerate(ends.tolist()):
-                    if end > at:
-                        out[level, k] = xxhash.xxh64_intdigest(raw[at:end], rate) | 1
-                        at = end
-    return out.ravel()
+                cell = (_mix(h + np.uint64(1 + (rate << 8 | first)) * _M) >> np.uint64(64 - rate)).astype(np.int16) + np.int16(first)
+                rows.append(np.where(cell < EACH, cell + np.int16(level * EACH), np.int16(-1)))
+    return np.array(rows)
+
+
+def hashed(terms: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """One hash for each subset, from the sorted hashes of a text's terms in the band and their columns of subsets()."""
+    out = [0] * (len(RATES) * EACH)
+    draw, term = np.nonzero(of >= 0)
+    cell = of[draw, term]
+    order = np.argsort(cell, kind="stable")  # terms stay sorted within a subset
+    ends = np.cumsum(np.bincount(cell, minlength=len(out))) * 8
+    raw, at = terms[term[order]].tobytes(), 0
+    for k, end in enumerate(ends.tolist()):
+        if end > at:
+            out[k] = xxhash.xxh64_intdigest(raw[at:end], RATES[k // EACH]) | 1
+            at = end
+    return np.array(out, np.uint64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The best share of equal hashes over the sizes of subsets."""
-    if (a == b).all():
+    same = a == b
+    if same.all():
         return 1.0
-    best = 0.0
-    for x, y in zip(a.reshape(len(RATES), -1), b.reshape(len(RATES), -1), strict=True):
-        some = (x != 0) | (y != 0)
-        if some.sum() * 8 >= EACH:
-            best = max(best, float(((x == y) & some).sum() / some.sum()))
-    return best
+    some = (a != 0) | (b != 0)
+    alike, either = (same & some).reshape(len(RATES), -1).sum(1), some.reshape(len(RATES), -1).sum(1)
+    return max((float(n / of) for n, of in zip(alike, either, strict=True) if of * 8 >= EACH), default=0.0)
 
 
 def edited(text: str, following: str) -> str:
