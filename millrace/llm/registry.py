@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from . import warc
+from . import ranked, warc
+from .alignment import op12_alignment
 from .extraction import op5_extraction
 from .fingerprints import op4_fingerprints
 from .licenses import op8_licenses
@@ -13,6 +14,8 @@ from .neardup import op9_neardup
 from .neighbours import op7_neighbours
 from .pieces import op3_pieces
 from .quality import op2_quality
+from .ranked import op11_ranked
+from .simhash import op13_simhash
 from .toxicity import op10_toxicity
 from .warc import op1_warc
 
@@ -21,5 +24,5 @@ def pipeline(spark, sf_dir):
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_pieces, op4_fingerprints, op5_extraction, op6_mixing, op7_neighbours, op8_licenses, op9_neardup, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_pieces, op4_fingerprints, op5_extraction, op6_mixing, op7_neighbours, op8_licenses, op9_neardup, op10_toxicity, op11_ranked, op12_alignment, op13_simhash, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE_SQL, "op11_ranked": ranked.ORACLE_SQL}
