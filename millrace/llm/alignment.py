@@ -32,8 +32,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,7 +49,7 @@ from .common import Scratch, table
 
 MARK = "▁"
 #: At most so many pairs are sent to every task; words that a generation remembers, and characters of those.
-FREQUENT, REMEMBERED, SHORT = 1 << 18, 60_000, 64
+FREQUENT, REMEMBERED, SHORT = 1 << 18, 200_000, 64
 
 _WORD_CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPAN = re.compile(rb"[^\x03]*\x03", re.DOTALL)
@@ -89,12 +91,12 @@ def byte_encoder(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
     return encode, [of.get(i, b"") for i in range(max(of) + 1)]
 
 
-def piece_encoder(path: str) -> tuple[Callable[[str], list[int]], list[bytes], bool]:
-    """(encode, bytes by id, whether words can be encoded one by one) of a model of pieces."""
+def piece_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes], bool]:
+    """(encode texts, bytes by id, whether words can be encoded one by one) of a model of pieces."""
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
     of = [bytes([int(p[1:-1], 16)]) if m.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-    return m.encode, of, not any(MARK in p.lstrip(MARK) for p in pieces)
+    return lambda texts: m.encode(texts, num_threads=1), of, not any(MARK in p.lstrip(MARK) for p in pieces)
 
 
 class Aligned(NamedTuple):
@@ -107,63 +109,64 @@ class Aligned(NamedTuple):
     links: bytes
 
 
+#: In the place of words that aren't known yet.
 NOTHING = Aligned(0, 0, 0, "", b"")
 
 
-def align(a: list[int], b: list[int], a_lengths: np.ndarray, b_lengths: np.ndarray) -> Aligned:
+def align(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> Aligned:
     """The alignment of two sequences of ids over the same bytes."""
-    a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-    a_ends, b_ends = a_lengths[a_ids].cumsum(), b_lengths[b_ids].cumsum()
-    label = np.zeros(int(a_ends[-1]), np.uint8)
-    label[a_ends - 1] = 1
-    label[b_ends - 1] |= 2
-    i = j = 0
-    out = []
-    for span in _SPAN.findall(label.tobytes()):
+    ends, at = bytearray(sum([a_lengths[i] for i in a])), -1
+    for i in a:
+        ends[at := at + a_lengths[i]] = 1
+    at = -1
+    for i in b:
+        ends[at := at + b_lengths[i]] |= 2
+    label, groups, links, i, j = bytes(ends), [], [], 0, 0
+    for span in _SPAN.findall(label):
         to_i, to_j = i + span.count(1) + 1, j + span.count(2) + 1
-        out.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
+        groups.append(f"{a[i]}|{b[j]}" if to_i - i == 1 == to_j - j else f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
         i, j = to_i, to_j
-    cuts = np.flatnonzero(label) + 1
-    links = a_ids[np.searchsorted(a_ends, cuts)] << 32 | b_ids[np.searchsorted(b_ends, cuts)]
-    return Aligned(len(a), len(b), len(out), ";".join(out), links.tobytes())
+    i = j = 0
+    for end in label.replace(b"\0", b""):
+        links.append(a[i] << 32 | b[j])
+        i += end & 1
+        j += end >> 1
+    return Aligned(len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes())
 
 
 class Aligner:
-    """Aligns texts word by word; `seen` makes what is remembered of a word."""
+    """Aligns texts word by word and remembers words."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.a_bytes = byte_encoder(a_path)
         self.b, self.b_bytes, self.by_words = piece_encoder(b_path)
-        self.a_lengths, self.b_lengths = (np.array([len(x) for x in of]) for of in (self.a_bytes, self.b_bytes))
+        self.a_lengths, self.b_lengths = ([len(x) for x in of] for of in (self.a_bytes, self.b_bytes))
         self.known: dict[str, Aligned | None] = {}
         self.older: dict[str, Aligned | None] = {}
 
-    def words(self, text: str) -> list[str]:
-        return _WORD_CUT.split(text) if self.by_words else [text]
-
-    def word(self, word: str) -> Aligned | None:
-        """The alignment of a word with the space before it, or None if the bytes are others."""
-        if word in self.known:
-            return self.known[word]
-        if word in self.older:
-            got = self.older[word]
-        else:
-            raw = b" " + word.encode("utf-8", "replace")
-            a, b = self.a(" " + word), self.b(word)
+    def words(self, text: str | None) -> list[str]:
+        return [] if not text else _WORD_CUT.split(text) if self.by_words else [text]
+
+    def of_words(self, words: Iterable[str]) -> dict[str, Aligned | None]:
+        """The alignments of distinct words, each with the space before it; None where the bytes are others."""
+        out = {w: self.known[w] if w in self.known else self.older.get(w, NOTHING) for w in words}
+        new = [w for w, x in out.items() if x is NOTHING]
+        for w, b in zip(new, self.b(new), strict=True):
+            raw, a = b" " + w.encode("utf-8", "replace"), self.a(" " + w)
             same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            got = align(a, b, self.a_lengths, self.b_lengths) if same else None
-        if len(word) <= SHORT:
-            if len(self.known) >= REMEMBERED:  # words that weren't met since the last time go
-                self.known, self.older = {}, self.known
-            self.known[word] = got
-        return got
+            out[w] = align(a, b, self.a_lengths, self.b_lengths) if same else None
+        if len(self.known) >= REMEMBERED:  # words that weren't met since the last time go
+            self.known, self.older = {}, self.known
+        self.known.update((w, x) for w, x in out.items() if len(w) <= SHORT)
+        return out
 
-    def text(self, text: str | None) -> list[Aligned] | None:
-        """The alignments of a text's words, or None if it has no tokens."""
-        if not text:
-            return None
-        out = [self.word(w) for w in self.words(text)]
-        return None if None in out else out
+    def texts(self, texts: Iterable[str | None]) -> tuple[list[list[str]], dict[str, Aligned]]:
+        """The words of each text, none where it has no tokens, and the alignments of all words."""
+        parts = [self.words(t) for t in texts]
+        of = self.of_words(dict.fromkeys(chain.from_iterable(parts)))
+        if bad := {w for w, x in of.items() if x is None}:
+            parts = [[] if bad.intersection(p) else p for p in parts]
+        return parts, {w: x for w, x in of.items() if x is not None}
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -182,14 +185,12 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         al = aligner(paths)
         for pdf in batches:
-            times: Counter[Aligned] = Counter()
-            for t in pdf["text"]:
-                times.update(al.text(t) or ())
-            links = [np.frombuffer(x.links, np.int64) for x in times]
-            pair, at = np.unique(np.concatenate(links or [np.empty(0, np.int64)]), return_inverse=True)
-            n = np.zeros(len(pair), np.int64)
-            np.add.at(n, at, np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(x) for x in links]))
-            yield pd.DataFrame({"pair": pair, "n": n})
+            parts, of = al.texts(pdf["text"])
+            times = Counter(chain.from_iterable(parts))
+            each = [of[w].links for w in times]
+            pair, at = np.unique(np.frombuffer(b"".join(each), np.int64), return_inverse=True)
+            n = np.bincount(at, np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(x) // 8 for x in each]), len(pair))
+            yield pd.DataFrame({"pair": pair, "n": n.astype(np.int64)})
 
     counts = docs.select("text").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     b = F.col("pair").bitwiseAND(0xFFFFFFFF)
@@ -197,27 +198,20 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     return counts.withColumn("b", b).join(highest, "b").select("pair", "n", (F.col("n") == F.col("high")).alias("best"))
 
 
-class Frequent:
-    """The pairs that every task has, in order, and what words' links sum up to."""
-
-    def __init__(self, pair: np.ndarray, n: np.ndarray, best: np.ndarray):
-        self.pair, self.n, self.best = pair, n, best
-        self.known: dict[bytes, tuple[int, int, int, tuple[int, ...]]] = {}
-
-    def sums(self, links: bytes) -> tuple[int, int, int, tuple[int, ...]]:
-        """(links, those with the best pair, sum of counts, pairs that are not frequent)."""
-        got = self.known.get(links)
-        if got is None:
-            every = np.frombuffer(links, np.int64)
-            at = np.searchsorted(self.pair, every)
-            at[at == len(self.pair)] = 0
-            hit = self.pair[at] == every if len(self.pair) else np.zeros(len(every), bool)
-            got = len(every), int(self.best[at[hit]].sum()), int(self.n[at[hit]].sum()), tuple(every[~hit].tolist())
-            if len(links) <= 8 * SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[links] = got
-        return got
+def _summed(words: list[Aligned], pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """(n_a, n_b, n_groups, links, those of a best pair, sum of counts) of each word by the pairs given in order, and its links of other pairs."""
+    size = np.array([len(x.links) // 8 for x in words], np.int64)
+    links, owner = np.frombuffer(b"".join([x.links for x in words]), np.int64), np.repeat(np.arange(len(words)), size)
+    at = np.searchsorted(pair, links)
+    at[at == len(pair)] = 0
+    hit = pair[at] == links if len(pair) else np.zeros(len(links), bool)
+    total, high = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    np.add.at(total, owner[hit], n[at[hit]])
+    np.add.at(high, owner[hit], best[at[hit]])
+    rest: list[list[int]] = [[] for _ in words]
+    for w, p in zip(owner[~hit].tolist(), links[~hit].tolist(), strict=True):
+        rest[w].append(p)
+    return np.column_stack([np.array([x[:3] for x in words], np.int64).reshape(-1, 3), size, high, total]), rest
 
 
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int = FREQUENT) -> DataFrame:
@@ -232,18 +226,16 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int
 
     @F.pandas_udf("struct<n_a:long,n_b:long,n_groups:long,n_links:long,n_best:long,count_sum:long,groups_sha256:string,rest:array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        al, often = aligner(paths), Frequent(*sent.value)
+        al = aligner(paths)
         for texts in batches:
-            out = []
-            for t in texts:
-                parts = al.text(t)
-                if parts is None:
-                    out.append((0, 0, 0, 0, 0, 0, "", []))
-                    continue
-                sums = [often.sums(x.links) for x in parts]
-                digest = hashlib.sha256(";".join([x.groups for x in parts]).encode()).hexdigest()
-                own = [sum(x) for x in zip(*[x[:3] for x in parts], strict=True)] + [sum(x) for x in zip(*[x[:3] for x in sums], strict=True)]
-                out.append((*own, digest, [p for x in sums for p in x[3]]))
+            parts, of = al.texts(texts)
+            number = {w: i for i, w in enumerate(of)}
+            sums, others = _summed(list(of.values()), *sent.value)
+            groups, out = [x.groups for x in of.values()], []
+            for words in parts:
+                at = [number[w] for w in words]
+                digest = hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest() if at else ""
+                out.append((*sums[at].sum(0).tolist(), digest, [p for i in at for p in others[i]]))
             yield pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), run("text").alias("x")).select("row", "doc_id", "x.*")

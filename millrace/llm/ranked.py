@@ -7,8 +7,9 @@ times impacts, all in 64-bit integers. Postings of the items' terms are a table
 in order of term and falling impact, so a frequent term's list is cut into as
 many partitions as its length takes and its head lies together.
 
-1. The K first of every list: of what they give an item, the K-th largest sum is
-   a lower bound of its K-th score.
+1. The K first of every list: the K documents for which they give an item the
+   largest sums are looked up in all its lists, and the least of these scores is a
+   lower bound of its K-th score.
 2. Every list of an item is read down to the same value, that bound divided by
    the number of its lists: a document in none of what is read has less than the
    bound. The sums give a better bound, and with the most that unread entries can
@@ -129,24 +130,32 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K, vocabulary: int = VOCA
     owed = asked.withColumnRenamed("term", "word").join(words, "word").join(weights, "term").select("item", "item_id", "term", (F.col("q") * F.col("w")).alias("qw"))
     owed, sent = _sent(owed, scratch, "owed")
 
+    def exact(pairs: DataFrame, sent_pairs: DataFrame) -> DataFrame:
+        """(item, item_id, row, doc_id, score) of pairs (item, row), looked up in all lists."""
+        lookups = sent_pairs.join(owed, "item").select("item", "row", "term", "qw", "item_id")
+        kept = posted.join(F.broadcast(pairs.select("row").distinct()), "row", "left_semi") if pairs is not sent_pairs else posted
+        return kept.join(lookups, ["term", "row"]).groupBy("item", "item_id", "row", "doc_id").agg(F.sum(F.col("impact") * F.col("qw")).alias("score"))
+
     heads = scratch.written(_first(posted, "term", F.desc("impact"), "row", k=k), "heads")
     lower = heads.join(sent, "term").groupBy("item", "row").agg(F.sum(F.col("impact") * F.col("qw")).alias("score"))
-    many = owed.groupBy("item").agg(F.count("*").alias("lists")).join(_bounds(lower, k), "item", "left")
-    need = F.expr("greatest((coalesce(bound, 0) + lists * qw - 1) div (lists * qw), 0)").alias("need")  # the least impact that is read
-    limits, sent_limits = _sent(owed.join(many, "item").select("item", "term", "qw", need), scratch, "limits")
+    bound = _bounds(exact(*_sent(_first(lower, "item", F.desc("score"), "row", k=k).select("item", "row"), scratch, "first")), k)
+    many = owed.groupBy("item").agg(F.count("*").alias("lists")).join(bound, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    need = F.expr("(bound + lists * qw - 1) div (lists * qw)").alias("need")  # the least impact that is read
+    limits = owed.join(many, "item").join(heads.groupBy("term").agg(F.max("impact").alias("high")), "term").select("item", "term", "qw", "bound", "high", need)
+    unread = F.least(F.greatest(F.col("need") - 1, F.lit(0)), "high") * F.col("qw")  # the most that an entry which isn't read adds
+    limits, sent_limits = _sent(limits.select("item", "term", "qw", "bound", "need", unread.alias("unread")), scratch, "limits")
+    small = limits is not sent_limits
     least = limits.groupBy("term").agg(F.min("need").alias("least"))
-    least = F.broadcast(least) if limits is not sent_limits else least
-
-    read = posted.join(least, "term").where("impact >= least").join(sent_limits, "term").where("impact >= need")
-    unread = F.greatest(F.col("need") - 1, F.lit(0)) * F.col("qw")  # the most that an entry which isn't read adds
-    seen = scratch.written(read.groupBy("item", "row").agg(F.sum(F.col("impact") * F.col("qw")).alias("score"), F.sum(unread).alias("known")), "seen")
-    most = limits.groupBy("item").agg(F.sum(unread).alias("most")).join(_bounds(seen, k), "item", "left")
-    hopeful = seen.join(most, "item").where("score + most - known >= coalesce(bound, 0)").select("item", "row")
-    hopeful, sent_hopeful = _sent(hopeful, scratch, "candidates")
-
-    lookups = sent_hopeful.join(owed, "item").select("item", "row", "term", "qw", "item_id")
-    kept = posted.join(F.broadcast(hopeful.select("row").distinct()), "row", "left_semi") if hopeful is not sent_hopeful else posted
-    scores = kept.join(lookups, ["term", "row"]).groupBy("item", "item_id", "row", "doc_id").agg(F.sum(F.col("impact") * F.col("qw")).alias("score")).where("score > 0")
+
+    entries = posted.join(F.broadcast(least) if small else least, "term").where("impact >= least").drop("doc_id", "least")
+    entries = entries.repartition("row") if small else entries  # an entry travels once for all items, and sums need no other shuffle
+    read = entries.join(sent_limits, "term").where("impact >= need")
+    seen = read.groupBy("item", "row").agg(F.sum(F.col("impact") * F.col("qw")).alias("score"), F.sum("unread").alias("known"))
+    most = limits.groupBy("item").agg(F.sum("unread").alias("most"), F.max("bound").alias("bound"))
+    upper = F.col("score") + F.col("most") - F.col("known")
+    seen = scratch.written(seen.join(F.broadcast(most) if small else most, "item").where(upper >= F.col("bound")).select("item", "row", "score", upper.alias("upper")), "seen")
+    hopeful = seen.join(_bounds(seen, k), "item", "left").where("upper >= coalesce(bound, 0)").select("item", "row")
+    scores = exact(*_sent(hopeful, scratch, "candidates")).where("score > 0")
     best = _first(scores, "item", F.desc("score"), "doc_id", "row", k=k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
     out = scratch.written(best, "ranks", lasting=True)
     scratch.clear()
