@@ -109,81 +109,106 @@ class Aligned(NamedTuple):
     links: bytes
 
 
-#: In the place of words that aren't known yet.
-NOTHING = Aligned(0, 0, 0, "", b"")
-
-
-def align(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> Aligned:
-    """The alignment of two sequences of ids over the same bytes."""
-    ends, at = bytearray(sum([a_lengths[i] for i in a])), -1
-    for i in a:
-        ends[at := at + a_lengths[i]] = 1
-    at = -1
-    for i in b:
-        ends[at := at + b_lengths[i]] |= 2
-    label, groups, links, i, j = bytes(ends), [], [], 0, 0
-    for span in _SPAN.findall(label):
-        to_i, to_j = i + span.count(1) + 1, j + span.count(2) + 1
-        groups.append(f"{a[i]}|{b[j]}" if to_i - i == 1 == to_j - j else f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-        i, j = to_i, to_j
-    i = j = 0
-    for end in label.replace(b"\0", b""):
-        links.append(a[i] << 32 | b[j])
-        i += end & 1
-        j += end >> 1
-    return Aligned(len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes())
+#: Of words whose bytes are others.
+OTHER = Aligned(0, 0, 0, "", b"")
+
+
+def align(a: list[list[int]], b: list[list[int]], a_lengths: np.ndarray, b_lengths: np.ndarray, with_groups: bool = True) -> list[Aligned]:
+    """The alignment of each of some words from their ids in both; the words' labels stand one after another, so no span crosses a word."""
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+    of_a, of_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    a_ends = a_lengths[flat_a].cumsum()
+    label = np.zeros(int(a_ends[-1]), np.uint8)
+    label[a_ends - 1] = 1
+    label[b_lengths[flat_b].cumsum() - 1] |= 2
+    cuts = np.flatnonzero(label)
+    kind = label[cuts]
+    links = (flat_a[(kind & 1).cumsum() - (kind & 1)] << 32 | flat_b[(kind >> 1).cumsum() - (kind >> 1)]).tobytes()
+    word_ends = a_ends[of_a.cumsum() - 1] - 1
+    to_link = np.searchsorted(cuts, word_ends, "right").tolist()
+    to_group = np.searchsorted(cuts[kind == 3], word_ends, "right").tolist()
+    groups, i, j = [], 0, 0
+    if with_groups:
+        a_text, b_text = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        for span in _SPAN.findall(label.tobytes()):
+            if len(span) == 1 or (x := span.count(1)) + (y := span.count(2)) == 0:
+                groups.append(f"{a_text[i]}|{b_text[j]}")
+                i, j = i + 1, j + 1
+            else:
+                groups.append(f"{','.join(a_text[i : i + x + 1])}|{','.join(b_text[j : j + y + 1])}")
+                i, j = i + x + 1, j + y + 1
+    of_a, of_b, out, at, link = of_a.tolist(), of_b.tolist(), [], 0, 0
+    for w in range(len(of_a)):
+        out.append(Aligned(of_a[w], of_b[w], to_group[w] - at, ";".join(groups[at : to_group[w]]), links[8 * link : 8 * to_link[w]]))
+        at, link = to_group[w], to_link[w]
+    return out
 
 
 class Aligner:
     """Aligns texts word by word and remembers words."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, with_groups: bool = True):
         self.a, self.a_bytes = byte_encoder(a_path)
         self.b, self.b_bytes, self.by_words = piece_encoder(b_path)
-        self.a_lengths, self.b_lengths = ([len(x) for x in of] for of in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, Aligned | None] = {}
-        self.older: dict[str, Aligned | None] = {}
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in of]) for of in (self.a_bytes, self.b_bytes))
+        self.with_groups = with_groups
+        self.known: dict[str, Aligned] = {}
+        self.older: dict[str, Aligned] = {}
 
     def words(self, text: str | None) -> list[str]:
         return [] if not text else _WORD_CUT.split(text) if self.by_words else [text]
 
-    def of_words(self, words: Iterable[str]) -> dict[str, Aligned | None]:
-        """The alignments of distinct words, each with the space before it; None where the bytes are others."""
-        out = {w: self.known[w] if w in self.known else self.older.get(w, NOTHING) for w in words}
-        new = [w for w, x in out.items() if x is NOTHING]
-        for w, b in zip(new, self.b(new), strict=True):
-            raw, a = b" " + w.encode("utf-8", "replace"), self.a(" " + w)
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            out[w] = align(a, b, self.a_lengths, self.b_lengths) if same else None
+    def _same(self, word: str, a: list[int], b: list[int]) -> bool:
+        raw = b" " + word.encode("utf-8", "replace")
+        return b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+
+    def _new(self, words: list[str]) -> list[Aligned]:
+        a, b = [self.a(" " + w) for w in words], self.b(words)
+        raw = (" " + " ".join(words)).encode("utf-8", "replace")
+        if all(b) and b"".join([self.a_bytes[i] for x in a for i in x]) == raw == b"".join([self.b_bytes[i] for x in b for i in x]):
+            return align(a, b, self.a_lengths, self.b_lengths, self.with_groups)
+        out = [OTHER] * len(words)
+        good = [k for k, w in enumerate(words) if self._same(w, a[k], b[k])]
+        for k, x in zip(good, align([a[k] for k in good], [b[k] for k in good], self.a_lengths, self.b_lengths, self.with_groups) if good else [], strict=True):
+            out[k] = x
+        return out
+
+    def of_words(self, words: Iterable[str]) -> dict[str, Aligned]:
+        """The alignments of distinct words, each with the space before it; OTHER where the bytes are others."""
+        known, older = self.known.get, self.older.get
+        out = {w: known(w) or older(w) for w in words}
+        if new := [w for w, x in out.items() if x is None]:
+            out.update(zip(new, self._new(new), strict=True))
         if len(self.known) >= REMEMBERED:  # words that weren't met since the last time go
             self.known, self.older = {}, self.known
-        self.known.update((w, x) for w, x in out.items() if len(w) <= SHORT)
+        self.known.update([x for x in out.items() if len(x[0]) <= SHORT])
         return out
 
     def texts(self, texts: Iterable[str | None]) -> tuple[list[list[str]], dict[str, Aligned]]:
         """The words of each text, none where it has no tokens, and the alignments of all words."""
         parts = [self.words(t) for t in texts]
         of = self.of_words(dict.fromkeys(chain.from_iterable(parts)))
-        if bad := {w for w, x in of.items() if x is None}:
+        if bad := {w for w, x in of.items() if x is OTHER}:
             parts = [[] if bad.intersection(p) else p for p in parts]
-        return parts, {w: x for w, x in of.items() if x is not None}
+        return parts, of
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
+_aligners: dict[tuple, Aligner] = {}
 
 
-def aligner(paths: tuple[str, str]) -> Aligner:
-    """One aligner a worker process, so tasks that follow use what it remembers."""
-    if paths not in _aligners:
-        _aligners[paths] = Aligner(*paths)
-    return _aligners[paths]
+def aligner(*way) -> Aligner:
+    """One aligner a worker process, so tasks that follow use what it remembers; a new way takes the old one's place."""
+    if way not in _aligners:
+        _aligners.clear()
+        _aligners[way] = Aligner(*way)
+    return _aligners[way]
 
 
 def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(pair, n, best): how many links have an id pair, and whether no pair of its B id has more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        al = aligner(paths)
+        al = aligner(*paths, False)
         for pdf in batches:
             parts, of = al.texts(pdf["text"])
             times = Counter(chain.from_iterable(parts))
@@ -198,20 +223,22 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     return counts.withColumn("b", b).join(highest, "b").select("pair", "n", (F.col("n") == F.col("high")).alias("best"))
 
 
-def _summed(words: list[Aligned], pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-    """(n_a, n_b, n_groups, links, those of a best pair, sum of counts) of each word by the pairs given in order, and its links of other pairs."""
-    size = np.array([len(x.links) // 8 for x in words], np.int64)
+def _summed(words: list[Aligned], pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """(n_a, n_b, n_groups, links, those of a best pair, sum of counts) of each word by the pairs given in order, and the links of other pairs by the word's number."""
+    size = np.fromiter((len(x.links) // 8 for x in words), np.int64, len(words))
     links, owner = np.frombuffer(b"".join([x.links for x in words]), np.int64), np.repeat(np.arange(len(words)), size)
     at = np.searchsorted(pair, links)
     at[at == len(pair)] = 0
     hit = pair[at] == links if len(pair) else np.zeros(len(links), bool)
+    own, at = owner[hit], at[hit]
     total, high = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    np.add.at(total, owner[hit], n[at[hit]])
-    np.add.at(high, owner[hit], best[at[hit]])
-    rest: list[list[int]] = [[] for _ in words]
+    np.add.at(total, own, n[at])
+    np.add.at(high, own, best[at].astype(np.int64))
+    rest: dict[int, list[int]] = {}
     for w, p in zip(owner[~hit].tolist(), links[~hit].tolist(), strict=True):
-        rest[w].append(p)
-    return np.column_stack([np.array([x[:3] for x in words], np.int64).reshape(-1, 3), size, high, total]), rest
+        rest.setdefault(w, []).append(p)
+    each = [np.fromiter((x[k] for x in words), np.int64, len(words)) for k in range(3)]
+    return np.column_stack([*each, size, high, total]), rest
 
 
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int = FREQUENT) -> DataFrame:
@@ -226,16 +253,18 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int
 
     @F.pandas_udf("struct<n_a:long,n_b:long,n_groups:long,n_links:long,n_best:long,count_sum:long,groups_sha256:string,rest:array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        al = aligner(paths)
+        al = aligner(*paths)
         for texts in batches:
             parts, of = al.texts(texts)
             number = {w: i for i, w in enumerate(of)}
             sums, others = _summed(list(of.values()), *sent.value)
+            more = np.zeros(len(of), bool)
+            more[list(others)] = True
             groups, out = [x.groups for x in of.values()], []
             for words in parts:
-                at = [number[w] for w in words]
-                digest = hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest() if at else ""
-                out.append((*sums[at].sum(0).tolist(), digest, [p for i in at for p in others[i]]))
+                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                digest = hashlib.sha256(";".join(map(groups.__getitem__, at.tolist())).encode()).hexdigest() if words else ""
+                out.append((*sums[at].sum(0).tolist(), digest, [p for i in at[more[at]].tolist() for p in others[i]]))
             yield pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), run("text").alias("x")).select("row", "doc_id", "x.*")

@@ -162,7 +162,7 @@ def test_words_are_cut_where_neither_tokenizer_makes_a_token(spark):
 
 def test_a_group_by_hand():
     """Ends of A at 2, 4, 6, 9 and of B at 3, 6, 9: bytes 0-6 are one group, 6-9 another."""
-    got = alignment.align([0, 0, 0, 1], [1, 1, 1], [2, 3], [0, 3])
+    got = alignment.align([[0, 0, 0, 1]], [[1, 1, 1]], np.array([2, 3]), np.array([0, 3]))[0]
     assert (got.n_a, got.n_b, got.n_groups, got.groups) == (4, 3, 2, "0,0,0|1,1;1|1")
     assert np.frombuffer(got.links, np.int64).tolist() == [1, 1, 1, 1, (1 << 32) + 1]
 
