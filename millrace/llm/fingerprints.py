@@ -193,11 +193,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 mine = words.fingerprint(t)
                 if last is not None and last[0] == p:
                     out.append((last[1], *closed(last[2], last[3], t, mine)))
-                last = None if ahead else (p, None if pd.isna(i) else int(i), t, mine)
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+                last = None if ahead else (p, None if i is None else int(i), t, mine)
+            yield pd.DataFrame(out, columns=COLUMNS, dtype=object).astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
             out = []
 
     dealt = with_next(docs, parts).repartitionByRange(parts, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # beside a null, Python would make a number a double
     return dealt.mapInPandas(run, "doc_id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 

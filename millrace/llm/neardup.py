@@ -118,20 +118,20 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     apart the sets of an id.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    @F.pandas_udf("struct<n_shingles:long,set_key:binary,tag:long,bands:array<long>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
             rows = []
-            for t in pdf["text"]:
+            for t in texts:
                 h = shingles(t, words)
                 if len(h):
                     key = xxhash.xxh128_digest(h.tobytes())
                     rows.append((len(h), key, _tag(len(h), key), bands(sketch(h))))
                 else:
                     rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "tag", "bands"]).astype({"tag": "Int64"})
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "tag", "bands"]]
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "tag", "bands"], dtype=object).astype({"n_shingles": "int64", "tag": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, tag long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), run("text").alias("s")).select("doc_id", "s.*")
 
 
 def _tag(n: int, key: bytes) -> int:

@@ -162,6 +162,8 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
     store.create_dir(root, recursive=True)
     rows = rows.select("shard", "page_id", "kind", "url", "payload", "digest", "keeper")
     spread = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
+    # ids go to Python as text, as beside a null it would make a number a double
+    spread = spread.withColumns({"page_id": F.col("page_id").cast("string"), "keeper": F.col("keeper").cast("string")})
     files = scratch.written(spread.mapInPandas(put, "shard int, part int, temporary string, bytes long, records long, sha256 string"), "files")
     manifest = folder + "/manifest"
     files.mapInPandas(commit, MANIFEST).write.parquet(manifest)
@@ -204,9 +206,9 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                         number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
                         rows.append((number("x-page-id"), head["warc-target-uri"], kind, int(head["x-payload-length"]), digest, number("x-refers-to-page"), payload))
                         if len(rows) >= 500:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
                             rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return manifest.select("file").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").mapInPandas(get, schema)
