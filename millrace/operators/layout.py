@@ -4,28 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def carried(rows: DataFrame, key: str, order: list[str], step: Callable[[object, tuple], tuple[object, tuple]], columns: list[str], schema: str) -> DataFrame:
-    """What a step gives for each row of a key in order, carrying a small state on; keys are sorted within partitions and stream by."""
+    """What a step gives for each row of a key in order, carrying a small state on; keys are sorted within partitions and stream by.
 
-    names = [c.split()[0] for c in schema.split(", ")]
+    Values go to the step as Arrow gives them, so numbers beside nulls stay whole; rows of a null key share a state.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = object(), None
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = (), None
+        for batch in batches:
             out = []
-            for row in pdf[[key, *columns]].itertuples(index=False, name=None):
-                if row[0] != at:
-                    at, state = row[0], None
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:1] != at:
+                    at, state = row[:1], None
                 state, said = step(state, row[1:])
-                out.append((row[0], *row[1:], *said))
-            yield pd.DataFrame(out, columns=names)
+                out.append((*row, *said))
+            yield record_batch(out, schema)
 
-    return rows.select(key, *columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.select(key, *columns).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as Arrow has them, by a schema of plain kinds."""
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
 def lines(runs: DataFrame, page: str) -> DataFrame:

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.layout import record_batch
+
 THROTTLE = "user_id long, event_id long, suppressed long"
 BUCKET = "user_id long, event_id long, admitted boolean, retry_ms long"
 FIXED = "user_id long, event_id long, admitted boolean"
@@ -61,22 +65,23 @@ def _ms(ts: pd.Series) -> pd.Series:
 
 
 def replayed(events: DataFrame, step: Step, schema: str) -> DataFrame:
-    """What the step gives for each user's events in order of time."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    """What the step gives for each user's events in order of time; events without a user or a moment say nothing. A null event_id stays null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, state = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for u, e, now in zip(pdf["user_id"], pdf["event_id"], _ms(pdf["ts"]), strict=True):
+            moments = batch.column("ts").cast(pa.int64()).to_pylist()  # microseconds
+            for u, e, now in zip(batch.column("user_id").to_pylist(), batch.column("event_id").to_pylist(), moments, strict=True):
                 if u != user:
                     user, state = u, None
-                state, said = step(state, now)
+                state, said = step(state, now // 1000)
                 if said is not None:
                     out.append((u, e, *said))
-            yield pd.DataFrame(out, columns=names)
+            yield record_batch(out, schema)
 
-    return events.where("user_id is not null").select("user_id", "event_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, schema)
+    timed = events.where("user_id is not null and ts is not null").select("user_id", "event_id", "ts")
+    return timed.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInArrow(run, schema)
 
 
 def streamed(events: DataFrame, step: Step, schema: str, state: str, forget_ms: int) -> DataFrame:
@@ -88,16 +93,20 @@ def streamed(events: DataFrame, step: Step, schema: str, state: str, forget_ms:
             held.remove()
             return
         now_state, out = tuple(held.get) if held.exists else None, []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for e, now in zip(pdf["event_id"], _ms(pdf["ts"]), strict=True):
+        pdf = pd.concat(list(batches))
+        pdf = pdf[pdf["ts"].notna()]
+        ids = [None if e is None else int(e) for e in pdf["event_id"]]  # sent as text, so that they stay whole beside a null
+        for now, _, e in sorted(zip(_ms(pdf["ts"]), [(e is not None, e or 0) for e in ids], ids, strict=True), key=lambda r: r[:2]):
             now_state, said = step(now_state, int(now))
             if said is not None:
                 out.append((key[0], e, *said))
+        if now_state is None:
+            return
         held.update(tuple(int(x) for x in now_state))
         held.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("user_id", F.col("event_id").cast("string"), "ts").groupBy("user_id").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def throttled(events: DataFrame, window_ms: int) -> DataFrame:
