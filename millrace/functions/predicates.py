@@ -47,9 +47,9 @@ def secret_name(name: Column) -> Column:
 
 def address(text: Column) -> Column:
     """A dotted address as a number; null for anything else."""
-    parts = F.transform(F.split(text, r"\."), lambda p: p.cast("bigint"))
+    parts = F.transform(F.split(text, r"\."), lambda p: p.try_cast("bigint"))
     number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a * 256 + p)
-    return F.when(text.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.|$)){4}$"), number)
+    return F.when(text.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)\z"), number)
 
 
 def private_address(text: Column) -> Column:

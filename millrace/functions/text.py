@@ -13,6 +13,11 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\r\n\f\x0B]+", " "))
 
 
+def joined_key(*parts: Column) -> Column:
+    """SHA-256 over parts with their bytes' number before each, so that no two lists of parts make one text; a null part is a mark of its own."""
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]), 256)
+
+
 def glob_like(c: Column, pattern: str) -> Column:
     """Whole-value match in which * stands for any run of characters."""
     escaped = re.sub(r"([%_\\])", r"\\\1", pattern).replace("*", "%")

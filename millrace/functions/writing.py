@@ -84,8 +84,9 @@ def percent_encoded(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
 
 
-def page_numbers(selection: Column) -> Column:
-    """Distinct numbers of a selection such as 1-3,7, in order."""
+def page_numbers(selection: Column, pages: Column | int = 10_000) -> Column:
+    """Distinct numbers of a selection such as 1-3,7, in order, of a document of so many pages; what is beyond, or no number, is left out."""
+    most = pages if isinstance(pages, Column) else F.lit(pages)
     parts = F.filter(F.split(F.regexp_replace(selection, r"\s", ""), ","), lambda p: p.rlike(r"^\d+(-\d+)?$"))
-    spans = F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("-"), F.lit(1)).cast("int").alias("a"), F.split_part(p, F.lit("-"), F.lit(-1)).cast("int").alias("b")))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"])))))
+    spans = F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("-"), F.lit(1)).try_cast("bigint").alias("a"), F.split_part(p, F.lit("-"), F.lit(-1)).try_cast("bigint").alias("b")))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: (s["a"] <= s["b"]) & (s["a"] <= most)), lambda s: F.sequence(s["a"].cast("int"), F.least(s["b"], most).cast("int"))))))

@@ -169,9 +169,9 @@ def eviction_plan(spark, sf):
 _SQUEEZED = "trim(regexp_replace(text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'), ' ')"
 
 
-@query(f"SELECT sha256(role || chr(31) || {_SQUEEZED}) AS key, min(conv_id) AS first_conv, count(*) AS n FROM conversations GROUP BY 1")
+@query(f"SELECT sha256(coalesce(strlen(role) || ':' || role, '-') || coalesce(strlen({_SQUEEZED}) || ':' || {_SQUEEZED}, '-')) AS key, min(conv_id) AS first_conv, count(*) AS n FROM conversations GROUP BY 1")
 def cache_keys(spark, sf):
-    key = F.sha2(F.concat_ws("\x1f", "role", T.squeezed(F.col("text"))), 256)
+    key = T.joined_key(F.col("role"), T.squeezed(F.col("text")))
     return table(spark, sf, "conversations").groupBy(key.alias("key")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
 
 

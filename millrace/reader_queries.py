@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import records
+from .operators import naming, records
 from .queries import query
 from .sources.tables import table
 
@@ -152,12 +152,13 @@ def tree_of_paths(spark, sf):
     return each.groupBy(F.array_join(F.slice("s", F.lit(1), F.col("d")), "/").alias("prefix")).agg(F.countDistinct("page_id").alias("n"))
 
 
-@query("""SELECT p_partkey, base || CASE WHEN n = 1 THEN '' ELSE '_' || n END AS name FROM (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM (SELECT p_partkey, regexp_replace(p_name || '!' || p_brand, '[^A-Za-z0-9_]', '_', 'g') AS base FROM part))""")
+@query("""WITH p AS (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM (SELECT p_partkey, CASE WHEN p_partkey % 40 = 3 THEN b || '_2' ELSE b END AS base FROM (SELECT p_partkey, regexp_replace(p_name || '!' || p_brand, '[^A-Za-z0-9_]', '_', 'g') AS b FROM part))),
+  t AS (SELECT regexp_extract(base, '^(.*)_([1-9][0-9]*)$', 1) AS base, list(DISTINCT regexp_extract(base, '^(.*)_([1-9][0-9]*)$', 2)::INTEGER) AS taken FROM (SELECT DISTINCT base FROM p) WHERE regexp_matches(base, '^.*_[1-9][0-9]{0,8}$') GROUP BY 1)
+  SELECT p_partkey, p.base || CASE WHEN n = 1 THEN '' ELSE '_' || list_filter(range(2, n + len(coalesce(taken, [])) + 1), lambda k: NOT list_contains(coalesce(taken, []), k))[n - 1] END AS name FROM p LEFT JOIN t ON t.base = p.base""")
 def names_without_clashes(spark, sf):
     base = F.regexp_replace(F.concat_ws("!", "p_name", "p_brand"), "[^A-Za-z0-9_]", "_")
-    p = table(spark, sf, "part").select("p_partkey", base.alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey"))
-    return p.withColumn("n", n).select("p_partkey", F.concat("base", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string")))).alias("name"))
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 40 == 3, F.concat(base, F.lit("_2"))).otherwise(base).alias("base"))
+    return naming.distinct_names(p, "p_partkey", "base")
 
 
 @query("""SELECT doc_id, count(*) AS n, min(name) AS first FROM (SELECT doc_id, regexp_extract(line, '^(?:pub |async )*(?:fn|def|class) ([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM (SELECT doc_id, unnest(string_split('def ' || source || lang || '(x):' || chr(10) || text || chr(10) || 'pub fn ' || lang || '_' || doc_id || '() {', chr(10))) AS line FROM documents)) WHERE name <> '' GROUP BY 1""")

@@ -67,11 +67,16 @@ def test_bucket_refuses_the_fourth(spark):
 def test_guard(spark):
     spark.range(5).createOrReplaceTempView("five")
     df, cut = guarded(spark, "SELECT id FROM five", 3)
-    assert df.count() == 3 and cut
-    assert not guarded(spark, "SELECT id FROM five", 5)[1]
+    assert df.count() == 3 and cut.first()["truncated"]
+    assert not guarded(spark, "SELECT id FROM five", 5)[1].first()["truncated"] and not guarded(spark, "SELECT id FROM five")[1].first()["truncated"]
+    assert [r["id"] for r in guarded(spark, "SELECT id FROM five ORDER BY id DESC", 2)[0].collect()] == [4, 3]
+    spark.range(3).write.mode("overwrite").saveAsTable("secret_table")
     for bad in (
         "DROP VIEW five", "CREATE TABLE x AS SELECT 1", "nonsense", "SET a=b", "WITH x AS (SELECT 99L AS id) INSERT INTO five SELECT * FROM x", "INSERT INTO five VALUES (1)", "REFRESH TABLE five",
         "ANALYZE TABLE five COMPUTE STATISTICS", "SELECT * FROM text.`/etc/passwd`", "SELECT * FROM parquet.`/x`", "SELECT reflect('java.lang.System', 'exit')", "SELECT id FROM five WHERE id IN (SELECT * FROM csv.`/x`)",
+        "WITH secret_table AS (SELECT * FROM secret_table) SELECT * FROM secret_table", "WITH a AS (SELECT * FROM secret_table), secret_table AS (SELECT 1 AS x) SELECT * FROM a",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM IDENTIFIER('secret_table')", "SELECT input_file_name() FROM five", "SELECT current_user()", "SELECT * FROM five WHERE id IN (SELECT id FROM secret_table)",
+        "SELECT EXISTS (SELECT * FROM secret_table)", "SELECT * FROM five JOIN LATERAL (SELECT * FROM secret_table)", "SELECT transform(array(1), x -> java_method('java.lang.System', 'getenv'))", "SELECT version()", "SELECT max(id) OVER (ORDER BY reflect('a', 'b')) FROM five",
         "SELECT (SELECT max(id) FROM other)", "SHOW TABLES", "SELECT id FROM five; SELECT 1", "FROM five INSERT OVERWRITE five SELECT *", "SELECT * FROM five UNION SELECT * FROM json.`/x`", "WITH a AS (SELECT * FROM orc.`/x`) SELECT * FROM a",
     ):
         assert refusal(spark, bad), bad
@@ -79,6 +84,9 @@ def test_guard(spark):
         assert refusal(spark, good) is None, good
         guarded(spark, good)
     assert guarded(spark, "SELECT id FROM five WHERE id < :most", 9, {"most": 2})[0].count() == 2
+    recursive = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 4) SELECT sum(n) AS s FROM t"
+    assert guarded(spark, recursive)[0].first()["s"] == 10
+    spark.sql("DROP TABLE secret_table")
     with pytest.raises(PermissionError):
         guarded(spark, "DROP VIEW five")
 
