@@ -7,14 +7,13 @@ token ends here, B's does, or both. A pattern scans the labels in spans up to ea
 Within a group, the ends of both cut it into pieces, each of which lies in one
 token of A and one of B: those pieces are the links, every overlapping pair once.
 
-How often an id pair is linked is counted over the whole corpus, in two passes.
-The first gives for each batch of texts its distinct pairs and their counts, which
-are summed. In the second, texts are aligned anew (cheaper than to store and
-shuffle every link) and get the counts. Pairs with more than a FREQUENT-th of all
-links are at most FREQUENT and are sent to every task; the links of others are
-joined by a shuffle, in which no pair then holds more than such a part. A B id's
-highest count is a row for each id, as many as the vocabulary has, and is part of
-the pairs' table.
+How often an id pair is linked is counted over the whole corpus. Texts are aligned
+once, and a table keeps each text's distinct pairs with their counts, packed into
+bytes. A pass over it gives each batch's distinct pairs, which are summed; a second
+looks up the sums. Pairs with more than a FREQUENT-th of all links are at most
+FREQUENT and are sent to every task; the others are joined by a shuffle, in which
+no pair then holds more than such a part. A B id's highest count is a row for each
+id, as many as the vocabulary has, and is part of the pairs' table.
 
 Texts are cut where a space stands alone between two characters that are not
 white space: A's pattern begins a token at such a space, and no piece of B has its
@@ -32,8 +31,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -42,6 +39,7 @@ import numpy as np
 import pandas as pd
 import sentencepiece
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,74 +202,102 @@ def aligner(*way) -> Aligner:
     return _aligners[way]
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+class Pairs:
+    """Distinct id pairs of a text and how often each is linked, as bytes: differences of sorted numbers a * ids_of_b + b, then counts."""
+
+    def __init__(self, ids_of_a: int, ids_of_b: int):
+        self.ids_of_b, self.kind = ids_of_b, np.dtype("<u4" if ids_of_a * ids_of_b < 1 << 32 else "<u8")
+        self.packer, self.unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+    def packed(self, links: bytes) -> bytes:
+        x = np.frombuffer(links, np.int64)
+        pair, n = np.unique((x >> 32) * self.ids_of_b + (x & 0xFFFFFFFF), return_counts=True)
+        return self.packer.compress(np.diff(pair, prepend=0).astype(self.kind).tobytes() + n.astype(self.kind).tobytes())
+
+    def unpacked(self, many: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, counts, how many are of each text) of the texts' bytes, those of no tokens empty."""
+        parts = [np.frombuffer(self.unpacker.decompress(b), self.kind).astype(np.int64).reshape(2, -1) if b else np.empty((2, 0), np.int64) for b in many]
+        return np.concatenate([p[0].cumsum() for p in parts]), np.concatenate([p[1] for p in parts]), np.array([p.shape[1] for p in parts])
+
+
+def token_rows(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of each row of docs; pairs as Pairs packs them."""
+
+    @F.pandas_udf("struct<n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,pairs:binary>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        al = aligner(*paths)
+        packer = Pairs(len(al.a_bytes), len(al.b_bytes))
+        for texts in batches:
+            parts, of = al.texts(texts)
+            number = {w: i for i, w in enumerate(of)}
+            known = list(of.values())
+            counts = np.column_stack([np.fromiter((x[k] for x in known), np.int64, len(known)) for k in range(3)])
+            groups, links, out = [x.groups for x in known], [x.links for x in known], []
+            for words in parts:
+                if not words:
+                    out.append((0, 0, 0, 0, "", b""))
+                    continue
+                at = [number[w] for w in words]
+                digest = hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest()
+                every = b"".join([links[i] for i in at])
+                out.append((*counts[at].sum(0).tolist(), len(every) // 8, digest, packer.packed(every)))
+            yield pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), run("text").alias("x")).select("row", "doc_id", "x.*")
+
+
+def pair_counts(rows: DataFrame, ids: tuple[int, int]) -> DataFrame:
     """(pair, n, best): how many links have an id pair, and whether no pair of its B id has more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        al = aligner(*paths, False)
+        packer = Pairs(*ids)
         for pdf in batches:
-            parts, of = al.texts(pdf["text"])
-            times = Counter(chain.from_iterable(parts))
-            each = [of[w].links for w in times]
-            pair, at = np.unique(np.frombuffer(b"".join(each), np.int64), return_inverse=True)
-            n = np.bincount(at, np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(x) // 8 for x in each]), len(pair))
-            yield pd.DataFrame({"pair": pair, "n": n.astype(np.int64)})
-
-    counts = docs.select("text").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    b = F.col("pair").bitwiseAND(0xFFFFFFFF)
+            every, times, _ = packer.unpacked(pdf["pairs"]) if len(pdf) else (np.empty(0, np.int64),) * 3
+            pair, at = np.unique(every, return_inverse=True)
+            n = np.zeros(len(pair), np.int64)
+            np.add.at(n, at, times)
+            yield pd.DataFrame({"pair": pair, "n": n})
+
+    counts = rows.select("pairs").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    b = F.col("pair") % ids[1]
     highest = counts.groupBy(b.alias("b")).agg(F.max("n").alias("high"))
     return counts.withColumn("b", b).join(highest, "b").select("pair", "n", (F.col("n") == F.col("high")).alias("best"))
 
 
-def _summed(words: list[Aligned], pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
-    """(n_a, n_b, n_groups, links, those of a best pair, sum of counts) of each word by the pairs given in order, and the links of other pairs by the word's number."""
-    size = np.fromiter((len(x.links) // 8 for x in words), np.int64, len(words))
-    links, owner = np.frombuffer(b"".join([x.links for x in words]), np.int64), np.repeat(np.arange(len(words)), size)
-    at = np.searchsorted(pair, links)
-    at[at == len(pair)] = 0
-    hit = pair[at] == links if len(pair) else np.zeros(len(links), bool)
-    own, at = owner[hit], at[hit]
-    total, high = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    np.add.at(total, own, n[at])
-    np.add.at(high, own, best[at].astype(np.int64))
-    rest: dict[int, list[int]] = {}
-    for w, p in zip(owner[~hit].tolist(), links[~hit].tolist(), strict=True):
-        rest.setdefault(w, []).append(p)
-    each = [np.fromiter((x[k] for x in words), np.int64, len(words)) for k in range(3)]
-    return np.column_stack([*each, size, high, total]), rest
-
-
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of docs."""
     paths = paths or default_paths()
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    counts = scratch.written(pair_counts(docs, paths), "pairs", lasting=True)
+    ids = len(byte_encoder(paths[0])[1]), len(piece_encoder(paths[1])[1])
+    rows = scratch.written(token_rows(docs, paths), "tokens", lasting=True)
+    counts = scratch.written(pair_counts(rows, ids), "pairs", lasting=True)
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * frequent > total  # so at most `frequent` pairs
     top = counts.where(often).toPandas().sort_values("pair")
-    sent = spark.sparkContext.broadcast((top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["best"].to_numpy(bool)))
+    sent = spark.sparkContext.broadcast((top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["best"].to_numpy(np.int64)))
 
-    @F.pandas_udf("struct<n_a:long,n_b:long,n_groups:long,n_links:long,n_best:long,count_sum:long,groups_sha256:string,rest:array<long>>")
+    @F.pandas_udf("struct<n_best:long,count_sum:long,rest:array<long>,times:array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        al = aligner(*paths)
-        for texts in batches:
-            parts, of = al.texts(texts)
-            number = {w: i for i, w in enumerate(of)}
-            sums, others = _summed(list(of.values()), *sent.value)
-            more = np.zeros(len(of), bool)
-            more[list(others)] = True
-            groups, out = [x.groups for x in of.values()], []
-            for words in parts:
-                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                digest = hashlib.sha256(";".join(map(groups.__getitem__, at.tolist())).encode()).hexdigest() if words else ""
-                out.append((*sums[at].sum(0).tolist(), digest, [p for i in at[more[at]].tolist() for p in others[i]]))
-            yield pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rest"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), run("text").alias("x")).select("row", "doc_id", "x.*")
-    rows = scratch.written(rows, "aligned", lasting=True)
-    rest = rows.select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times"))
+        (pair, n, best), packer = sent.value, Pairs(*ids)
+        for packed in batches:
+            every, times, size = packer.unpacked(packed) if len(packed) else (np.empty(0, np.int64),) * 3
+            own, back = np.unique(every, return_inverse=True)
+            at = np.searchsorted(pair, own)
+            at[at == len(pair)] = 0
+            hit = pair[at] == own if len(pair) else np.zeros(len(own), bool)
+            n_own, best_own = (np.where(hit, x[at], 0) if len(pair) else np.zeros(len(own), np.int64) for x in (n, best))
+            ends = np.concatenate([[0], size.cumsum()])
+            sums = [np.concatenate([[0], (x[back] * times).cumsum()]) for x in (n_own, best_own)]
+            other = ~hit[back]
+            yield pd.DataFrame({
+                "n_best": np.diff(sums[1][ends]), "count_sum": np.diff(sums[0][ends]),
+                "rest": [every[a:b][other[a:b]] for a, b in zip(ends, ends[1:], strict=False)], "times": [times[a:b][other[a:b]] for a, b in zip(ends, ends[1:], strict=False)],
+            })
+
+    summed = scratch.written(rows.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", run("pairs").alias("x")).select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "x.*"), "aligned", lasting=True)
+    rest = summed.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("pair"), F.col("r.times").alias("times"))
     found = rest.join(counts.where(~often), "pair").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("_best"))
-    whole = rows.drop("rest").join(found, "row", "left")
+    whole = summed.drop("rest", "times").join(found, "row", "left")
     added = {c: F.col(c) + F.coalesce(x, F.lit(0)) for c, x in (("n_best", "_best"), ("count_sum", "_sum"))}
     return whole.withColumns(added).drop("row", "_sum", "_best")
 
