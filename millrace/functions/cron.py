@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import zones
+
 HORIZON_DAYS = 1500
 # Names of months and days, and short forms of whole schedules.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -57,3 +59,37 @@ def next_runs(rows: DataFrame, at: str, schedule: str) -> DataFrame:
     start = F.when(rest.isNotNull(), F.to_date(at)).otherwise(F.col("_later")).cast("timestamp")
     met = rows.join(calendar, F.to_date(at) == F.col("_day"), "left")
     return met.withColumn("next_run", F.timestamp_add("MINUTE", F.coalesce(rest, F.lit(times[0])), start)).drop("_day", "_runs", "_later")
+
+
+def first_inside(rows: DataFrame, at: str, schedule: str, zone: str = "UTC", window: tuple[int, int] | None = None, days: int = HORIZON_DAYS) -> DataFrame:
+    """rows with `next_run`, the first moment of the schedule after the minute of `at` whose minute of the zone's day is in the half-open window, which may go past midnight.
+
+    Moments are timestamps without zone in UTC, the schedule and the window read the zone's clock. A time that the clock jumps over is none, of
+    one that it shows twice the first is meant. null where `days` hold none, and where `at` is null. The times of a day inside the window are
+    a constant, so the search is over dates alone, once for each date that occurs.
+    """
+    minute, hour, day, month, week = SHORT.get(schedule.strip().lower(), schedule).split()
+    month, week = named(month, MONTHS, 1), named(week, DAYS, 0)
+    months, of_month = field(month, 1, 12), field(day, 1, 31)
+    of_week = sorted({d % 7 for d in field(week, 0, 7)})
+    inside = lambda m: window is None or (window[0] <= m < window[1] if window[0] <= window[1] else m >= window[0] or m < window[1])
+    times = [m for h in field(hour, 0, 23) for m in (h * 60 + m for m in field(minute, 0, 59)) if inside(m)]
+    if not times:
+        return rows.withColumn("next_run", F.lit(None).cast("timestamp_ntz"))
+
+    def runs_on(d: Column) -> Column:
+        a, b = F.dayofmonth(d).isin(of_month), (F.dayofweek(d) - 1).isin(of_week)
+        return F.month(d).isin(months) & (a | b if day != "*" and week != "*" else a & b)
+
+    def moments(d: Column) -> Column:
+        each = F.transform(F.array(*map(F.lit, times)), lambda t: zones.moment_of(F.timestamp_add("MINUTE", t, d.cast("timestamp_ntz")), zone))
+        return F.array_compact(each)
+
+    local = F.to_date(zones.local_of(F.col(at), zone))
+    dates = rows.select(local.alias("_day")).where("_day is not null").distinct()
+    # a day's times can lie in a gap of the clock or be over, so three later days of the schedule are enough
+    later = F.slice(F.filter(F.sequence(F.date_add("_day", -1), F.date_add("_day", days)), runs_on), 1, 5)
+    calendar = dates.select("_day", F.array_sort(F.flatten(F.transform(later, moments))).alias("_moments"))
+    met = rows.withColumn("_local", local).join(calendar, F.col("_local") == F.col("_day"), "left")
+    now = F.date_trunc("minute", F.col(at)).cast("timestamp_ntz")
+    return met.withColumn("next_run", F.array_min(F.filter("_moments", lambda m: m > now))).drop("_local", "_day", "_moments")
