@@ -107,12 +107,12 @@ def job_decisions(spark, sf):
     return table(spark, sf, "orders").groupBy(records.decision(job, 90_000, 90).alias("what")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT l_suppkey, y, h, id, row_number() OVER (PARTITION BY l_suppkey ORDER BY y, id) AS n FROM (SELECT l_suppkey, l_extendedprice / 700 AS y, l_quantity / 4 AS h, l_orderkey * 8 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey, l_orderkey * 8 + l_linenumber ORDER BY l_partkey, l_extendedprice) AS k FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey < 10) WHERE k = 1),
+@query("""WITH RECURSIVE r AS (SELECT l_suppkey, y, h, id, row_number() OVER (PARTITION BY l_suppkey ORDER BY y, id) AS n FROM (SELECT l_suppkey, l_extendedprice / 700 AS y, l_quantity / 4 AS h, l_orderkey * 8 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey, l_orderkey * 8 + l_linenumber ORDER BY l_partkey, l_extendedprice) AS k FROM lineitem) WHERE k = 1),
   s AS (SELECT l_suppkey, id, n, y AS base, h AS high, 0::BIGINT AS line FROM r WHERE n = 1 UNION ALL SELECT r.l_suppkey, r.id, r.n, CASE WHEN abs(r.y - base) > 0.5 * high THEN r.y ELSE base END, CASE WHEN abs(r.y - base) > 0.5 * high THEN r.h ELSE greatest(high, r.h) END, line + (abs(r.y - base) > 0.5 * high)::BIGINT FROM s JOIN r ON r.l_suppkey = s.l_suppkey AND r.n = s.n + 1)
   SELECT l_suppkey, id, line FROM s""")
 def baselines(spark, sf):
     w = Window.partitionBy("l_suppkey", "id").orderBy("l_partkey", "l_extendedprice")
-    l = table(spark, sf, "lineitem").where("l_returnflag = 'A' and l_suppkey < 10").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("k", F.row_number().over(w)).where("k = 1")
+    l = table(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("k", F.row_number().over(w)).where("k = 1")
     runs = l.select("l_suppkey", (F.col("l_extendedprice") / 700).alias("y"), (F.col("l_quantity") / 4).alias("height"), "id")
     return layout.lines(runs, "l_suppkey").select("l_suppkey", "id", "line")
 

@@ -49,25 +49,38 @@ def sizes(spark, sf):
     return o.select("o_orderkey", N.human_bytes(F.col("b")).alias("size"), N.percent(F.floor(F.col("k") / 2), F.col("k")).alias("done"), N.backoff(F.col("k"), 2, 60).alias("wait"), w.alias("w"), h.alias("h"), N.base64_bound(F.col("k")).alias("bound"))
 
 
-_PATHS = """SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) || ['', '.min.js', '/.ssh/x', '/ID_RSA', '.key', '/go.lock'][page_id % 6 + 1] AS path, html FROM pages"""
+_ENDS = ("", ".min.js", "/.ssh/x", "/ID_RSA", "/a.key", "/go.lock", "/.env.example", "/deploy_ed25519.pub", "/.key", "/node_modules/x", ".Bundle.js", "/.ssh")
+_PATHS = f"""SELECT page_id, page_id % 12 AS k, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) || {list(_ENDS)}[page_id % 12 + 1] AS path, html FROM pages"""
 
 
-@query(f"""SELECT page_id, path, (page_id % 6 IN (2, 3, 4)) AS secret, (page_id % 6 IN (1, 5)) AS generated, CASE WHEN contains(html, chr(0)) THEN 'binary' WHEN list_max(list_transform(string_split(html, chr(10)), lambda x: length(x))) > 2000 THEN 'minified' END AS gate FROM ({_PATHS})""")
+@query(f"""SELECT page_id, path, k IN (2, 3, 4, 6, 7) AS secret, k IN (1, 10) AS generated, k = 9 AS foreign, CASE WHEN contains(html, chr(0)) THEN 'binary' WHEN regexp_matches(html, '(^|\n)\\s*-----BEGIN[^\n]*PRIVATE KEY') THEN 'secret' WHEN list_max(list_transform(string_split(html, chr(10)), lambda x: strlen(x))) > 2000 THEN 'minified' END AS gate FROM ({_PATHS})""")
 def file_gates(spark, sf):
-    path = F.concat(F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1), F.get(F.array(*map(F.lit, ("", ".min.js", "/.ssh/x", "/ID_RSA", ".key", "/go.lock"))), (F.col("page_id") % 6).cast("int")))
+    path = F.concat(F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1), F.get(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % 12).cast("int")))
     p = table(spark, sf, "pages").select("page_id", path.alias("path"), "html")
-    return p.select("page_id", "path", P.secret_path(F.col("path")).alias("secret"), P.generated(F.col("path")).alias("generated"), P.content_gate(F.col("html"), 2000).alias("gate"))
+    return p.select("page_id", "path", P.secret_path(F.col("path")).alias("secret"), P.generated(F.col("path")).alias("generated"), P.foreign_path(F.col("path")).alias("foreign"), P.content_gate(F.col("html"), 2000).alias("gate"))
 
 
-@query("""SELECT c_custkey, a || '.' || b || '.' || c || '.' || d AS address, a > 255 AS bad, CASE WHEN a <= 255 THEN (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a BETWEEN 224 AND 239) END AS private
-  FROM (SELECT c_custkey, [10, 100, 172, 192, 169, 8, 300, 127, 0, 230][c_custkey % 10 + 1] AS a, [168, 16, 64, 254, 127, 128, 31, 32][c_custkey % 8 + 1] AS b, c_custkey % 256 AS c, c_custkey * 7 % 256 AS d FROM customer)""")
+@query("""SELECT c_custkey, a || '.' || b || '.' || c || '.' || d AS address, a > 255 AS bad, CASE WHEN a <= 255 THEN (a IN (10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR a >= 224) END AS private
+  FROM (SELECT c_custkey, [10, 100, 172, 192, 169, 8, 300, 127, 0, 230, 198, 250, 198][c_custkey % 13 + 1] AS a, [168, 16, 64, 254, 127, 128, 31, 32, 19, 51][c_custkey % 10 + 1] AS b, CASE WHEN c_custkey % 3 = 0 THEN 100 ELSE c_custkey % 256 END AS c, c_custkey * 7 % 256 AS d FROM customer)""")
 def private_addresses(spark, sf):
     k = F.col("c_custkey")
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int")).cast("string")
-    text = F.concat_ws(".", pick((10, 100, 172, 192, 169, 8, 300, 127, 0, 230)), pick((168, 16, 64, 254, 127, 128, 31, 32)), (k % 256).cast("string"), (k * 7 % 256).cast("string"))
+    third = F.when(k % 3 == 0, 100).otherwise(k % 256).cast("string")
+    text = F.concat_ws(".", pick((10, 100, 172, 192, 169, 8, 300, 127, 0, 230, 198, 250, 198)), pick((168, 16, 64, 254, 127, 128, 31, 32, 19, 51)), third, (k * 7 % 256).cast("string"))
     return table(spark, sf, "customer").select(k, text.alias("address"), P.address(text).isNull().alias("bad"), P.private_address(text).alias("private"))
 
 
+_GROUPED = ("fe80::{}", "fd00:1::{}:0", "2001:db8::{}", "::{}", "::ffff:10.0.0.{}", "64:ff9b::8.8.8.{}", "1:2:3:4:5:6:7:8:{}", "ff02::{}")
+
+
+@query("""SELECT o_orderkey, CASE k WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN d IN ('0', '1') WHEN 4 THEN CASE WHEN o_orderkey % 300 < 256 THEN true END WHEN 5 THEN CASE WHEN o_orderkey % 300 < 256 THEN false END WHEN 7 THEN true END AS private FROM (SELECT o_orderkey, o_orderkey % 8 AS k, (o_orderkey % 300)::VARCHAR AS d FROM orders)""")
+def private_groups(spark, sf):
+    """Addresses in groups, some of which carry a dotted one; nine groups and numbers over 255 are none."""
+    k, d = F.col("o_orderkey"), (F.col("o_orderkey") % 300).cast("string")
+    text = F.replace(F.get(F.array(*map(F.lit, _GROUPED)), (k % 8).cast("int")), F.lit("{}"), d)
+    return table(spark, sf, "orders").select(k, P.private_address(text).alias("private"))
+
+
 @query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN s BETWEEN 200 AND 299 THEN 'success' WHEN s IN (408, 425, 429) OR s >= 500 THEN 'retryable' ELSE 'permanent' END AS outcome FROM (SELECT event_id % 500 + 100 AS s FROM events)) GROUP BY 1""")
 def http_outcomes(spark, sf):
     return table(spark, sf, "events").groupBy(P.http_outcome(F.col("event_id") % 500 + 100).alias("outcome")).agg(F.count("*").alias("n"))
