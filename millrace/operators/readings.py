@@ -51,12 +51,15 @@ def segments(rows: DataFrame, key: str, order: list[str], item: str) -> DataFram
     Bounds are the first that are whole of: start and end, offsets in thousandths, a pair of clocks, t0 and t1 in hundredths. A start below 0 is
     0 and no end is before its start. A segment without bounds or text is none. A key's rows are sorted by the order, ties by the JSON itself.
     """
-    said = rows.select(key, *order, F.col(item).alias("_item"), F.from_json(item, SEGMENT).alias("_s"))
-    s = F.col("_s")
     pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
-    bounds = F.coalesce(pair(seconds(s["start"]), seconds(s["end"])), pair(s["offsets"]["from"] / 1000, s["offsets"]["to"] / 1000), pair(seconds(s["timestamps"]["from"]), seconds(s["timestamps"]["to"])), pair(s["t0"] / 100, s["t1"] / 100))
-    text = F.regexp_replace(s["text"], r"(?U)^\s+|\s+$", "")
-    got = said.select(key, *order, "_item", text.alias("text"), bounds.alias("_b")).where("text <> '' and _b is not null and not isnan(_b.a) and not isnan(_b.b)")
+
+    def read(s: Column) -> Column:
+        bounds = F.coalesce(pair(seconds(s["start"]), seconds(s["end"])), pair(s["offsets"]["from"] / 1000, s["offsets"]["to"] / 1000), pair(seconds(s["timestamps"]["from"]), seconds(s["timestamps"]["to"])), pair(s["t0"] / 100, s["t1"] / 100))
+        return F.struct(F.regexp_replace(s["text"], r"(?U)^\s+|\s+$", "").alias("text"), bounds.alias("_b"))
+
+    known = lambda x: (x["text"] != "") & x["_b"].isNotNull() & ~F.isnan(x["_b"]["a"]) & ~F.isnan(x["_b"]["b"])
+    # an array of one holds what is read of a row, so that it is read once
+    got = rows.select(key, *order, F.col(item).alias("_item"), F.inline(F.filter(F.transform(F.array(F.from_json(item, SEGMENT)), read), known)))
     start = F.greatest("_b.a", F.lit(0.0))
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order, "_item")) - 1
     return got.select(key, *order, n.cast("long").alias("n"), start.alias("start"), F.greatest(F.col("_b.b"), start).alias("end"), "text")
