@@ -29,7 +29,8 @@ def rolled(writes: DataFrame, file: str, order: list[str], most: int) -> DataFra
         state = (row[-1], generation + 1) if roll else (size + row[-1], generation)
         return state, (roll, state[1])
 
-    return carried(writes, file, order, step, [*order, "bytes"], f"{file} long, {', '.join(f'{o} long' for o in order)}, bytes long, rotated boolean, generation long")
+    kind = "string" if dict(writes.dtypes)[file] == "string" else "long"
+    return carried(writes, file, order, step, [*order, "bytes"], f"{file} {kind}, {', '.join(f'{o} long' for o in order)}, bytes long, rotated boolean, generation long")
 
 
 def byte_grants(asks: DataFrame, key: str, now: str, event: str, want: str, capacity: int, per_minute: int) -> DataFrame:

@@ -13,15 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names; where it is unset, a temporary folder serves a session of one process, and a cluster is refused."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary folder serves a session of one process, and a cluster is refused."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not sc.getCheckpointDir():
-        if not folder and not re.match(r"local(\[|$)", sc.master):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="millrace-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import robots
 from .operators import prefix
 from .queries import query
-from .sources import frames, oplog
-from .sources.tables import table
+from .sources import frames, oplog, staged
+from .sources.tables import shared_folder, table
 from .streaming import epochs, ingest
 
 _ARRIVED = """a AS (SELECT user_id, event_id, value, event_type, came, date_trunc('hour', came)::TIMESTAMP AS start, max(came) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, max(came) OVER (PARTITION BY user_id) AS final
@@ -115,6 +117,35 @@ def documents_deleted(spark, sf):
     return oplog.delete_documents(log, doomed)[1]
 
 
+@query(f"""WITH {_LOG}, s AS (SELECT f.*, (SELECT count(*) FROM live WHERE live.c = f.c) AS n FROM f), d AS (SELECT *, error IS NULL AND lines >= 40 AND lines - 1 - n >= 0.3 * lines AS due FROM s)
+  SELECT c AS collection, lines AS lines_before, CASE WHEN due THEN n + 1 ELSE lines END AS lines, CASE WHEN error IS NULL THEN n END AS chunks, CASE WHEN due THEN 0 WHEN error IS NULL THEN lines - 1 - n END AS dead_lines, error FROM d""")
+def logs_compacted_in_place(spark, sf):
+    """The op-logs as a store, appended to twice, compacted and read again."""
+    store = staged.log_store(spark, f"{shared_folder(spark)}/millrace-logs-{uuid.uuid4().hex}", 8)
+    lines = _log(spark, sf).withColumn("collection", F.col("collection").cast("string"))
+    for part in (0, 1):
+        store.put(lines.where(F.col("line") % 2 == part), f"lines {part}")
+    before = oplog.state(store.rows())[1].select("collection", F.col("lines").alias("lines_before"))
+    staged.compact(store, "compact", 40)
+    after = oplog.state(store.rows())[1].drop("error_line")
+    return after.join(before, "collection").withColumn("collection", F.col("collection").cast("long"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, strlen(props) + 1 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 = 0, event_id) AS n FROM events),
+  w AS (SELECT user_id, n, event_id, bytes, bytes AS size, 0::BIGINT AS g FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.event_id, e.bytes, CASE WHEN w.size + e.bytes > 200 THEN e.bytes ELSE w.size + e.bytes END, w.g + (w.size + e.bytes > 200)::BIGINT FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+  SELECT 'u' || user_id AS file, (last - g)::INTEGER AS generation, count(*) AS lines, sum(bytes)::BIGINT AS bytes, min(n) - 1 AS first_line FROM (SELECT *, max(g) OVER (PARTITION BY user_id) AS last FROM w) WHERE last - g <= 1 GROUP BY ALL""")
+def files_rolled_in_place(spark, sf):
+    """Events' properties appended to a file for each user in two requests, at most 200 bytes a file, and the files read again."""
+    store = staged.file_store(spark, f"{shared_folder(spark)}/millrace-files-{uuid.uuid4().hex}", 8)
+    records = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("number"), F.col("props").alias("record"))
+    for name, part in (("first", "number % 3 <> 0"), ("second", "number % 3 = 0")):
+        staged.append_records(store, records.where(part), name, 200)
+    store.clear()
+    bytes_ = F.sum(F.octet_length("record") + 1).cast("long")
+    return store.rows().groupBy("file", "generation").agg(F.count("*").alias("lines"), bytes_.alias("bytes"), F.min("number").alias("first_line"))
+
+
 def _bodies(spark, sf):
     """A conversation's turns as the frames of one body: users write to stdout, others to stderr; every third turn ends its line."""
     payload = F.concat("text", F.when(F.col("turn") % 3 == 0, "\n").otherwise("")).cast("binary")
