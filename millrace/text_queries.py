@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import formats as N
+from .functions import markup
 from .functions import predicates as P
 from .functions import writing as W
+from .operators.readable import readable
 from .queries import query
 from .sources.tables import table
 
@@ -153,3 +155,16 @@ def page_selections(spark, sf):
 def repeated_turns(spark, sf):
     said = table(spark, sf, "conversations").groupBy(W.for_repeats(F.col("text")).alias("t")).agg(F.count("*").alias("n"))
     return said.groupBy("n").agg(F.count("*").alias("docs"))
+
+
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<!--.*?-->|</?(b|a)( [^>]*)?>', '', 'g'), '(?s)<div class="ad">.*?</div>', '<br>', 'g') AS h FROM pages),
+  b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '\\s+', ' ', 'g'), '</h1>|</p>', chr(2), 'g'), '<p>|<br>', chr(1), 'g') AS h FROM a),
+  c AS (SELECT page_id, regexp_replace(regexp_replace(replace(h, '<h1>', chr(2) || '# '), '[ \\x01\\x02]*\\x02[ \\x01\\x02]*', chr(10) || chr(10), 'g'), '[ \\x01]*\\x01[ \\x01]*', chr(10), 'g') AS h FROM b)
+  SELECT page_id, trim(replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), ' ' || chr(10)) AS text FROM c""")
+def readable_pages(spark, sf):
+    return readable(table(spark, sf, "pages").select("page_id", "html"), "html")
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*(>|\\z)', '', 'g'), '>', ''), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS snippet FROM pages""")
+def clean_snippets(spark, sf):
+    return table(spark, sf, "pages").select("page_id", markup.cleaned(F.col("html")).alias("snippet"))
