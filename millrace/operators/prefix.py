@@ -10,23 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-#: Rows of a range, about; keys picked for each bound.
-RANGE_ROWS, PICKED = 500_000, 32
+#: Rows of a range, about; keys picked for each bound; ranges at most, beyond which they grow longer instead.
+RANGE_ROWS, PICKED, MOST_RANGES = 500_000, 32, 256
 
 
 def ranges(rows: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -> Column:
-    """The number of a row's range: how many bounds are not after it. Some PICKED keys a range come to the driver."""
+    """The number of a row's range: how many bounds are not after it, found by halving. About PICKED keys a range come to the driver, however many rows there are."""
     n = rows.count()
-    parts = -(-n // range_rows)
+    parts = min(-(-n // range_rows), MOST_RANGES)
     if parts < 2:
         return F.lit(0)
     key = F.struct(*order)
-    picked = rows.where(F.pmod(F.xxhash64(*order), F.lit(max(1, range_rows // PICKED))) == 0).select(key.alias("k")).distinct().orderBy("k").collect()
-    bounds = [picked[len(picked) * i // parts]["k"] for i in range(1, parts)] if picked else []
-    types = dict(rows.dtypes)
-    literals = [F.struct(*[F.lit(b[c]).cast(types[c]).alias(c) for c in order]) for b in bounds]
-    return F.size(F.filter(F.array(*literals), lambda b: b <= key)) if literals else F.lit(0)
+    picked = rows.where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (parts * PICKED)))) == 0).select(key.alias("k")).distinct().orderBy("k").select(F.to_json("k"), "k")
+    said = [r[0] for r in picked.collect()]
+    if not said:
+        return F.lit(0)
+    # one literal; any keys serve as bounds, so it does no harm that JSON shortens some, but they have to be in order
+    bounds = F.sort_array(F.from_json(F.lit(f"[{','.join(said[len(said) * i // parts] for i in range(1, parts))}]"), ArrayType(picked.schema["k"].dataType)))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range((parts - 1).bit_length()))])
+    # a step is taken if the last bound that it passes is there and not after the row
+    return F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def sums_before(rows: DataFrame, order: list[str], values: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -84,8 +89,7 @@ def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
     totals = counts.groupBy(key).agg(F.sum("_n").alias("_all"))
     before = sums_before(counts, [key, value], {"_b": F.col("_n")})
-    start = before.groupBy(key).agg(F.min("_b").alias("_start"))
-    sums = totals.join(start.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k"))).select("_k", "_all", "_start")
+    sums = sums_before(totals, [key], {"_start": F.col("_all")}).withColumnRenamed(key, "_k")
     placed = before.join(sums, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_from", F.col("_b") - F.col("_start"))
     low, high = F.expr("(_all - 1) div 2"), F.expr("_all div 2")
     holds = lambda at: (F.col("_from") <= at) & (at < F.col("_from") + F.col("_n"))
@@ -97,6 +101,6 @@ def evicted(entries: DataFrame, group: str, last_used: str, key: str, size: str,
     """(group, key) of the entries to go, least recently used first, until what stays of a group fits the cap; a group of any size is dealt to many tasks."""
     own = entries.select(group, last_used, key, F.col(size).alias("_size"))
     before = sums_before(own, [group, last_used, key], {"_b": F.col("_size")}, range_rows)
-    sums = before.groupBy(group).agg(F.min("_b").alias("_start"), F.sum("_size").alias("_all"))
+    sums = sums_before(own.groupBy(group).agg(F.sum("_size").alias("_all")), [group], {"_start": F.col("_all")}, range_rows)
     placed = before.join(sums, before[group].eqNullSafe(sums[group])).drop(sums[group])
     return placed.where(F.col("_all") - (F.col("_b") - F.col("_start")) > cap).select(group, key)

@@ -195,6 +195,26 @@ def test_sums_before(spark, size):
     assert prefix.sums_before(df.limit(0), ["k", "i"], {"before": F.col("v")}).count() == 0
 
 
+def test_ranges_are_bounded_in_number(spark):
+    """Short ranges of many rows grow longer instead of more, and their numbers follow the order, nulls first."""
+    rows = spark.range(4000).selectExpr("if(id % 7 = 0, null, hash(id) / 3e5D) as x", "id")
+    at = rows.withColumn("r", prefix.ranges(rows, ["x", "id"], 1)).orderBy("x", "id").collect()
+    numbers = [r["r"] for r in at]
+    assert numbers == sorted(numbers) and 100 < len(set(numbers)) <= 256
+
+
+def test_evicted_of_groups_that_share_ranges(spark):
+    rows = [(g, i * 37 % 50, i, i % 9) for i in range(600) for g in (["a", "b", None][i % 3],)]
+    got = prefix.evicted(spark.createDataFrame(rows, "g string, used long, i long, size long"), "g", "used", "i", "size", 100, 1)
+    want = set()
+    for g in ("a", "b", None):
+        kept = 0
+        for _, _, i, size in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:3], reverse=True):
+            kept += size
+            want |= {(g, i)} if kept > 100 else set()
+    assert as_set(got, "g", "i") == want
+
+
 def test_medians_of_counts(spark):
     rows = [("a", v) for v in (5, 1, 3)] + [("b", v) for v in (4, 1, 4, 9)] + [("c", None), (None, 7), (None, 10)] + [("d", 2)] * 50
     got = prefix.medians(spark.createDataFrame(rows, "k string, v long"), "k", "v")
