@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows."""
 
 import math
+import random
 import re
 import time
 from collections import Counter
@@ -116,6 +117,38 @@ def test_vectors_out_of_order(spark):
     assert [r["n"] for r in frame.orderBy("vec_id").select(vectors.normalized(F.col("embedding")).alias("n")).collect()] == [[1.0, 0.0], None, None, [1.0], None, [1.0, 0.0], None, [0.0, 1.0]]
 
 
+def cached(rows, ratio, threshold=0.5):
+    """Every lookup (id divisible by 3) against every other row of its bucket and width."""
+    out = {}
+    for q, b, v, size in rows:
+        for e, c, w, other in rows if q is not None and q % 3 == 0 and b is not None else ():
+            if e is None or e == q or b != c or not v or not w or len(v) != len(w) or None in v or None in w:
+                continue
+            dot = lambda x, y: sum((s * t for s, t in zip(x, y)), 0.0)
+            below = math.sqrt(dot(v, v)) * math.sqrt(dot(w, w))
+            score = dot(v, w) / below if below > 0 else math.nan
+            if not math.isnan(score):
+                out[q] = max(out.get(q, (-2.0, 0, 0)), (float(f"{max(-1.0, min(1.0, score)):.6f}"), -e, other))
+    sizes = {r[0]: r[3] for r in rows}
+    return {(q, -e, s, s >= threshold and (not ratio or max(sizes[q], o) <= ratio * min(sizes[q], o))) for q, (s, e, o) in out.items()}
+
+
+@pytest.mark.parametrize("ratio, block", [(None, 16_384), (2.0, 16_384), (2.0, 7)])
+def test_nearest_entries_by_brute_force(spark, monkeypatch, ratio, block):
+    """Copies, near ties below the sixth digit, other widths, hidden and odd values, in blocks of any size."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b"]), [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)], rng.randrange(1, 9)) for i in range(150)]
+    rows += [(200 + i, "c", [1.0, 1e-7 * (i % 5), 0.0], 3) for i in range(40)]
+    rows += [(300, "a", [0.0, 0.0, 0.0], 1), (303, "a", None, 1), (306, "a", [], 1), (309, "a", [1.0, None, 2.0], 1), (312, "a", [float("nan"), 1.0, 1.0], 1), (315, "a", [float("inf"), 1.0, 0.0], 1), (318, "a", [1.0, 2.0], 1), (319, "a", [2.0, 1.0], 1), (None, "a", [1.0, 1.0, 1.0], 1), (321, None, [1.0, 1.0, 1.0], 1), (324, "alone", [1.0], 1)]
+    rows += [(330, "d", [1e-200, 0.0, 0.0], 1), (333, "d", [1e200, 0.0, 1e10], 1), (336, "d", [1e-120, 1e-121, 0.0], 1), (337, "d", [1.0, 0.1, 0.0], 1), (339, "d", [1e150, 1e150, 0.0], 1)]
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "FEW", 40)
+    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>, size int").repartition(3)
+    got = vectors.nearest(frame.where("vec_id % 3 = 0"), frame, "label", 0.5, ratio=ratio)
+    assert "zip_with(q" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair of vectors is multiplied on its own
+    assert {tuple(r) for r in got.collect()} == cached(rows, ratio)
+
+
 def test_path_globs(spark):
     paths = spark.createDataFrame([("src/a.rs",), ("src/deep/b.rs",), ("a.py",), ("src/c1.rs",)], "p string")
     hits = lambda g: sorted(r["p"] for r in paths.where(path_glob(F.col("p"), g)).collect())
