@@ -149,6 +149,10 @@ def test_nearest_entries_by_brute_force(spark, monkeypatch, ratio, block):
     assert {tuple(r) for r in got.collect()} == cached(rows, ratio)
 
 
+def test_lookups_of_a_cache_multiply_no_pair_on_its_own(spark):
+    assert "zip_with(q" not in QUERIES["cache_lookup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_path_globs(spark):
     paths = spark.createDataFrame([("src/a.rs",), ("src/deep/b.rs",), ("a.py",), ("src/c1.rs",)], "p string")
     hits = lambda g: sorted(r["p"] for r in paths.where(path_glob(F.col("p"), g)).collect())
