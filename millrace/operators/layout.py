@@ -26,7 +26,8 @@ def carried(rows: DataFrame, key: str, order: list[str], step: Callable[[object,
                 out.append((*row, *said))
             yield record_batch(out, schema)
 
-    return rows.select(key, *columns).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    # by a hash of the key, as Spark leaves out a shuffle by the key itself after a union of parts that are shuffled by it, and may then merge partitions of each part otherwise
+    return rows.select(key, *columns).repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}

@@ -1,8 +1,10 @@
 """Stores of lines: whole versions, tokens, torn manifests, compaction in place, files that roll."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators import upkeep
 from millrace.sources import oplog, staged
 
 HEAD = '{"op":"header","model":"m","width":1}'
@@ -90,3 +92,21 @@ def test_files_roll_in_place(spark, tmp_path):
     with pytest.raises(ValueError, match="no file"):
         staged.append_records(store, spark.createDataFrame([(None, 1, "x")], schema), "3", 30)
     assert staged.append_records(store, spark.createDataFrame([], schema), "4", 30) and store.rows().count() == sum(map(len, got.values()))
+
+
+def test_rolls_see_what_a_file_held_in_another_part_of_a_union(spark):
+    """Few summed rows beside many numbered ones: each side is shuffled by file, and the few are merged to fewer partitions."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        held = spark.range(60).selectExpr("concat('f', id) as file", "0L as number", "90L as bytes")
+        held = held.groupBy("file").agg(F.max("number").alias("number"), F.sum("bytes").alias("bytes"))
+        new = spark.range(12_000).selectExpr("concat('f', id % 60) as file", "id", "repeat('x', 40) as said")
+        new = new.withColumn("number", F.row_number().over(Window.partitionBy("file").orderBy("id", "said")).cast("long")).select("file", "number", (F.length("said") - 30).cast("long").alias("bytes"))
+        got = upkeep.rolled(held.unionByName(new), "file", ["number"], 100).groupBy("file").agg(F.max("generation").alias("last"), F.min(F.when(F.col("rotated"), F.col("number"))).alias("first"))
+        assert {tuple(r) for r in got.collect()} == {(f"f{i}", 20, 2) for i in range(60)}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
