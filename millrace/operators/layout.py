@@ -9,22 +9,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carried(rows: DataFrame, key: str, order: list[str], step: Callable[[object, tuple], tuple[object, tuple]], columns: list[str], schema: str) -> DataFrame:
+def carried(rows: DataFrame, key: str, order: list[str], step: Callable[[object, tuple], tuple[object, tuple]], columns: list[str], schema: str, reads: list[str] | None = None) -> DataFrame:
     """What a step gives for each row of a key in order, carrying a small state on; keys are sorted within partitions and stream by.
 
-    Values go to the step as Arrow gives them, so numbers beside nulls stay whole; rows of a null key share a state.
+    The step is given the columns that it `reads`, else all; the others pass it by as Arrow has them. Values go to the step as Arrow gives
+    them, so numbers beside nulls stay whole; rows of a null key share a state.
     """
+    given = [0, *[1 + columns.index(c) for c in (columns if reads is None else reads)]]
+    fields = [c.split() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = (), None
         for batch in batches:
             out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:1] != at:
-                    at, state = row[:1], None
+            for row in zip(*[batch.column(i).to_pylist() for i in given], strict=True):
+                if row[0] != at:
+                    at, state = row[0], None
                 state, said = step(state, row[1:])
-                out.append((*row, *said))
-            yield record_batch(out, schema)
+                out.append(said)
+            old = [c if c.type == ARROW[kind] else c.cast(ARROW[kind]) for c, (_, kind) in zip(batch.columns, fields, strict=False)]
+            new = fields[len(old) :]
+            said = [pa.array(c, ARROW[kind]) for c, (_, kind) in zip(zip(*out, strict=True) if out else [()] * len(new), new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*old, *said], [name for name, _ in fields])
 
     # by a hash of the key, as Spark leaves out a shuffle by the key itself after a union of parts that are shuffled by it, and may then merge partitions of each part otherwise
     return rows.select(key, *columns).repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import cron
 from millrace.operators import pages
+from millrace.operators.layout import carried
 from millrace.sources import ignores
 
 RUN = "page long, id long, x double, y double, width double, height double, text string, path string"
@@ -163,6 +164,23 @@ def test_pages_at_the_edges(spark):
     assert pages.page_texts(df.limit(0)).count() == 0 and pages.tables(df).count() == 0
 
 
+def test_steps_read_only_what_they_need(spark):
+    df = spark.createDataFrame([(1, 2, "b", 5.0), (1, 1, "a", None), (None, 1, "c", 1.0), (2, 3, None, 2.0)], "k long, n int, said string, v double")
+    got = carried(df, "k", ["n"], lambda s, row: ((s or 0) + (row[0] or 0), (len(row), (s or 0) + (row[0] or 0))), ["n", "said", "v"], "k long, n long, said string, v double, width long, sum double", ["v"])
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 1, "a", None, 1, 0.0), (1, 2, "b", 5.0, 1, 5.0), (2, 3, None, 2.0, 1, 2.0), (None, 1, "c", 1.0, 1, 1.0)]
+
+
+def test_columns_of_runs_are_worked_out_once(spark):
+    """A filter over made columns makes them again for each of its parts."""
+    runs = spark.createDataFrame([(1, 1, 2.0, "a"), (1, 2, 3.0, ""), (1, 3, 3.0, None)], "page long, id long, at double, word string")
+    text = F.concat_ws("-", "word", F.lit("x"))
+    made = runs.select("page", "id", F.col("at").alias("x"), F.col("at").alias("y"), (5.0 * F.length(text)).alias("width"), F.lit(9.0).alias("height"), text.alias("text"))
+    got = pages.pieces(made)
+    assert not any("Filter" in line and "concat_ws" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert sorted((r.id, r.words, r.left, r.end) for r in got.collect()) == [(1, "a-x", 2.0, 17.0), (2, "-x", 3.0, 13.0), (3, "x", 3.0, 8.0)]
+    assert pages.pieces(made.withColumn("text", F.when(F.col("id") == 1, "").when(F.col("id") == 2, " "))).count() == 0
+
+
 # ignore rules
 
 
