@@ -24,13 +24,19 @@ BREAK_AFTER = {2: [*HEADINGS, "pre", "p", "blockquote", "table", "ul", "ol", "dl
 
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW)})(?=[\s>/])[^>]*>.*?(?:</\1(?=[\s>])[^>]*>|\z)|<[!?][^>]*(?:>|\z)|</?[a-z0-9-]+[^>]*>|[^<]+|<"
 LEAST = 200  # characters below which a main or article region counts only if the body has no more
+SHARE = 8_000_000  # bytes of source that a task takes, about, or one longer page
 BREAK = "\x01"  # stands before line breaks until the page is whole; one in a page is dropped
 
 
 def _tokens(pages: DataFrame, html: str) -> DataFrame:
-    """A row for each token of a page: its kind, name, attributes and source length."""
+    """A row for each token of a page: its kind, name, attributes and source length.
+
+    Tokens take many times the room of their source, which shuffles well packed, so beyond one share tasks are dealt by bytes of source and not left to be merged.
+    """
+    shares = -(-(pages.agg(F.sum(F.octet_length(html))).first()[0] or 0) // SHARE)
+    dealt = [max(pages.sparkSession.sparkContext.defaultParallelism, shares)] if shares > 1 else []
     t = pages.withColumn("_row", F.monotonically_increasing_id())
-    t = t.select(*[c for c in t.columns if c != html], F.posexplode_outer(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("_pos", "_tok")).repartition("_row")
+    t = t.select(*[c for c in t.columns if c != html], F.posexplode_outer(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("_pos", "_tok")).repartition(*dealt, "_row")
     tag = F.regexp_extract("_tok", r"^</?([A-Za-z0-9-]+)", 1)
     t = t.withColumn("_name", F.lower(tag))
     raw = F.col("_name").isin(RAW) & ~F.startswith("_tok", F.lit("</"))

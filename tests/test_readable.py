@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import markup
+from millrace.operators import readable as R
 from millrace.operators.readable import readable
 
 LONG = "word " * 60
@@ -74,3 +75,11 @@ def test_snippets(spark):
     rows = [("<strong>a</strong>  b &amp; c", "a b & c"), ("x > y <open", "x y"), (" a b ", "a b"), (None, None)]
     got = spark.createDataFrame(rows, "t string, e string").select(markup.cleaned(F.col("t")), "e").collect()
     assert all(r[0] == r[1] for r in got)
+
+
+def test_tasks_are_dealt_by_bytes_of_source(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHARE", 1000)
+    pages = spark.createDataFrame([(i, f"<p>{'word ' * 100}{i}</p>") for i in range(40)], "id long, html string")
+    held = R._tokens(pages, "html").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 4 and sum(r[1] for r in held) == 120
+    assert {r.id: r.text for r in R.readable(pages, "html").collect()} == {i: f"{'word ' * 100}{i}" for i in range(40)}
