@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 LINE = "op string, id string, document string, model string, width int, vector array<double>"
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """lines (collection, line, raw) with the fields of what they say and `error`; a torn last line has the error `torn`."""
     read = lines.withColumn("_p", F.from_json("raw", LINE)).select("collection", "line", "raw", "_p.*")
-    ends = read.groupBy("collection").agg(F.min("line").alias("_first"), F.max("line").alias("_last"), F.min_by(F.struct("op", "model", "width"), "line").alias("_head"))
+    # groupings of all lines keep numbers alone, which Spark hashes; those that keep texts or structs sort their rows, and come after them
+    kinds = read.groupBy("collection", "model", "width").agg(F.min("line").alias("_first"), F.max("line").alias("_last"))
+    ends = kinds.groupBy("collection").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.min_by(F.struct("model", "width"), "_first").alias("_head"))
     needs = {"header": F.col("model").isNotNull() & F.col("width").isNotNull(), "put": F.col("id").isNotNull() & F.col("document").isNotNull() & F.col("vector").isNotNull(), "delete": F.col("id").isNotNull(), "delete_document": F.col("document").isNotNull()}
     whole = F.coalesce(F.expr("false"), F.lit(False))
     for op, need in needs.items():
@@ -29,29 +33,31 @@ def parsed(lines: DataFrame) -> DataFrame:
         .when(~first & (F.col("op") == "header"), "second header").when((F.col("op") == "put") & ~F.col("model").eqNullSafe(F.col("_head.model")), "other model")
         .when((F.col("op") == "put") & (F.size("vector") != F.col("_head.width")), "other width")
     )
-    return read.join(ends, "collection").withColumn("error", error).drop("_first", "_last", "_head")
+    return read.join(written(ends), "collection").withColumn("error", error).drop("_first", "_last", "_head")
 
 
 def replayed(said: DataFrame) -> DataFrame:
     """(collection, id, document, line, vector) of the chunks in force, from parsed() lines of logs that aren't spoilt.
 
-    A chunk's last put counts, unless a later line deletes it or its document: two groupings and a join with the tombstones of documents.
+    A chunk's last put counts, unless a later line deletes it or its document: two groupings, a join with the puts that their numbers name,
+    and one with the tombstones of documents. A put whose number is repeated counts once.
     """
     sound = said.where("error is null")
     put = F.col("op") == "put"
-    last = sound.where("id is not null").groupBy("collection", "id").agg(
-        F.max_by(F.struct("document", "line", "vector"), F.when(put, F.col("line"))).alias("p"), F.max(F.when(F.col("op") == "delete", F.col("line"))).alias("gone")
-    )
+    last = sound.where("id is not null").groupBy("collection", "id").agg(F.max(F.when(put, F.col("line"))).alias("line"), F.max(F.when(F.col("op") == "delete", F.col("line"))).alias("gone"))
+    live = last.where("line > coalesce(gone, -1)").select("collection", "id", "line")
+    named = sound.where(put).select("collection", "id", "line", "document", "vector").join(live, ["collection", "id", "line"])
+    puts = named.groupBy("collection", "id", "line").agg(F.max(F.struct("document", "vector")).alias("p")).select("collection", "id", "line", "p.*")
     stones = sound.where("op = 'delete_document'").groupBy("collection", "document").agg(F.max("line").alias("_dead"))
-    puts = last.where("p.line is not null and p.line > coalesce(gone, -1)").select("collection", "id", "p.*")
     return puts.join(stones, ["collection", "document"], "left").where("line > coalesce(_dead, -1)").select("collection", "id", "document", "line", "vector")
 
 
 def state(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks in force, logs): logs has for each collection its lines, dead lines, chunks, and the first line that spoils it with why; a spoilt log has no chunks."""
     said = parsed(lines)
-    logs = said.groupBy("collection").agg(F.count("*").alias("lines"), F.min(F.when(F.col("error") != "torn", F.struct("line", "error"))).alias("_e"))
-    logs = logs.select("collection", "lines", F.col("_e.line").alias("error_line"), F.col("_e.error").alias("error"))
+    kinds = said.groupBy("collection", "error").agg(F.count("*").alias("lines"), F.min("line").alias("line"))
+    logs = kinds.groupBy("collection").agg(F.sum("lines").alias("lines"), F.min(F.when(F.col("error") != "torn", F.struct("line", "error"))).alias("_e"))
+    logs = written(logs.select("collection", "lines", F.col("_e.line").alias("error_line"), F.col("_e.error").alias("error")))
     chunks = replayed(said.join(logs.where("error is null").select("collection"), "collection", "left_semi"))
     counts = chunks.groupBy("collection").agg(F.count("*").alias("_n"))
     n = F.when(F.col("error").isNull(), F.coalesce("_n", F.lit(0)))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import upkeep
 from . import oplog
+from .tables import written
 
 TOKENS = 256  # requests that a manifest remembers
 PIECES = 16  # folders of one part beyond which compaction merges them
@@ -111,12 +112,12 @@ def compact(store: Store, token: str, least_lines: int = 512, dead_share: float
 
     Only parts that hold such a log, or that lie in more than PIECES folders,
     are read again and written; in them logs that aren't due keep their lines.
-    Returns (collection, lines, dead_lines, compacts, lines_after) of all logs as they were, which needs the old version until it is read.
+    Returns (collection, lines, dead_lines, compacts, lines_after) of all logs as they were.
     """
     old = store.manifest()
     logs = oplog.state(store.rows(manifest=old))[1]
     due = F.coalesce(F.col("error").isNull() & (F.col("lines") >= least_lines) & (F.col("dead_lines") >= F.lit(dead_share) * F.col("lines")), F.lit(False))
-    logs = logs.withColumn("compacts", due)
+    logs = written(logs.withColumn("compacts", due))
     said = logs.select("collection", "lines", "dead_lines", "compacts", F.when(due, F.col("chunks") + 1).otherwise(F.col("lines")).alias("lines_after"))
     if token in old["tokens"]:
         return said

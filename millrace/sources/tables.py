@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again; Spark then knows its true size, and joins with a small one shuffle nothing."""
+    path = f"{shared_folder(df.sparkSession)}/millrace-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(log: DataFrame, key: str, order: list[str], deleted: Column) -> DataFrame:
     """The rows in force after replaying an append-only log: each key's last, unless that deletes it."""
     last = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])

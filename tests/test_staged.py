@@ -1,5 +1,7 @@
 """Stores of lines: whole versions, tokens, torn manifests, compaction in place, files that roll."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -110,3 +112,17 @@ def test_rolls_see_what_a_file_held_in_another_part_of_a_union(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_no_task_sorts_all_lines_of_a_log(spark):
+    """A grouping that keeps texts or structs sorts the lines of a task, a join by collection those of a log, so their memory grows with them."""
+    chunks, logs = oplog.state(lines(spark, "a", 0, [HEAD, put(1)]))
+    for rows in (chunks, logs):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "max_by(" not in plan and not re.search(r"SortMergeJoin \[collection#\d+\], \[collection#\d+\], (Inner|LeftSemi)", plan)
+
+
+def test_a_put_whose_number_is_repeated_counts_once(spark):
+    log = lines(spark, "a", 0, [HEAD, put(1), put(2)]).unionByName(lines(spark, "a", 1, [put(1)]))
+    chunks, logs = oplog.state(log)
+    assert sorted(r["id"] for r in chunks.collect()) == ["1", "2"] and logs.first()["chunks"] == 2
