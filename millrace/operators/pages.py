@@ -3,28 +3,31 @@
 Every function takes runs with (page long, id long, x, y, width, height double, text string), y upwards; other columns are left aside. A run
 without a finite place, or whose text is blank or null, is none; a width below 0 is 0, a height of 0 or less is 1. Runs at one place go by id.
 Rows without a page share one. Repeated rows stay. Pages are cut level by level, all pages at once; a region's rows are sorted and stream
-by, so a page may hold more rows than a task's memory.
+by, so a page may hold more rows than a task's memory: that is done by windows for pages of more than MOST_HELD pieces, and the others, many
+at once, by `placed`, whose rules are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut_lineage
+from ..sources.tables import cut_lineage, written
 from .layout import carried
+from .placed import ANCHOR, BLOCK, CELL, COLUMN_OVERLAP, FEWEST_LINES, FEWEST_RUNS, GUTTER_OF_WIDTH, LEAST_ANCHOR, MOST_CUTS, MOST_FILL, PITCH, WORD, gathered, next_line
 
-# Bounds on what is a line, a word, a cell, a column, a block and a table, most in heights of a line.
-MOST_CUTS, FEWEST_RUNS, FEWEST_LINES = 6, 8, 3
-LINE, WORD, CELL, BLOCK, PITCH = 0.5, 0.22, 0.75, 1.2, 2.5
-GUTTER_OF_WIDTH, COLUMN_OVERLAP = 0.03, 0.5
-ANCHOR, LEAST_ANCHOR, MOST_FILL = 0.4, 4.0, 0.8
+# Pieces of a page beyond which its regions stream by in windows.
+MOST_HELD = 1 << 17
 
 _PLACE = ["x", "id", "text", "piece"]
 _PIECE = "page long, path string, id long, y double, x double, right double, height double, text string, piece long, left double, end double, words string"
 _NAMES = [c.split()[0] for c in _PIECE.split(", ")]
+_LINES = "line long, said string"
+_CELLS = "table long, row long, column long, columns long, rows long, filled long, cells array<string>"
 
 
 def pieces(runs: DataFrame) -> DataFrame:
@@ -44,14 +47,6 @@ def pieces(runs: DataFrame) -> DataFrame:
     return each.withColumns({"path": F.lit(""), "piece": F.col("piece").cast("long"), "left": left, "end": left + F.length("_cut.words") * F.col("_step"), "words": F.col("_cut.words")}).select(*_NAMES)
 
 
-def _line(state: tuple, y: float, height: float) -> tuple:
-    """The line a run stands in: its number, the baseline of its first run, its height so far."""
-    number, base, high = state
-    if number >= 0 and abs(base - y) <= LINE * max(high, height):
-        return number, base, max(high, height)
-    return number + 1, y, height
-
-
 def _lined(rows: DataFrame) -> DataFrame:
     """rows with their region, line and, where there is a side, its line on that side alone; one pass from top to bottom."""
     none = (-1, 0.0, 0.0)
@@ -59,9 +54,9 @@ def _lined(rows: DataFrame) -> DataFrame:
     def step(state, row):
         y, height, side = row
         whole, *sides = state or (none, none, none)
-        whole = _line(whole, y, height)
+        whole = next_line(whole, y, height)
         if side is not None:
-            sides[side] = _line(sides[side], y, height)
+            sides[side] = next_line(sides[side], y, height)
         return (whole, *sides), (whole[0], None if side is None else sides[side][0])
 
     keyed = rows.withColumns({"region": F.concat(F.coalesce(F.col("page").cast("string"), F.lit("-")), F.lit("/"), "path"), "down": -F.col("y")})
@@ -162,14 +157,14 @@ def _judged(rows: DataFrame) -> DataFrame:
     return asked.withColumn("_split", split).select(*_NAMES, half.alias("half"))
 
 
-def regions(runs: DataFrame) -> DataFrame:
-    """The pieces of all runs with the path of their region; paths in order of text are the reading order.
+def regions(at: DataFrame) -> DataFrame:
+    """Pieces with the path of their region; paths in order of text are the reading order.
 
     A region of at least eight runs is cut at its widest gutter, if both sides have three lines, stand side by side and are no table, else at
     its widest gap from side to side; six cuts deep at most. Each level is written before the next begins, in two steps: the places of its
     cuts, and what comes of regions with sides, if there are any.
     """
-    at, done = pieces(runs), []
+    done = []
     for _ in range(MOST_CUTS):
         level = cut_lineage(_sides(at))
         asked = level.where("side is not null")
@@ -187,16 +182,35 @@ def _uncut(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"side": F.lit(None).cast("int"), "half": F.lit(None).cast("string")})
 
 
+def _placed(runs: DataFrame, in_tables: bool, min_rows: int = 2, min_columns: int = 2) -> tuple[DataFrame, DataFrame | None]:
+    """Lines, or cells of tables, of the pages that may be held, and the pieces of the others, if there are any."""
+    most = MOST_HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(batches, in_tables, min_rows, min_columns, most)
+
+    # by a hash, as in `carried`
+    sorted_pages = pieces(runs.repartition(F.xxhash64("page"))).sortWithinPartitions("page", *_PLACE)
+    kinds = [*[f for f in _PIECE.split(", ") if not f.startswith("path ")], "path string", _CELLS if in_tables else _LINES]
+    got = written(sorted_pages.mapInArrow(run, ", ".join(kinds)))
+    rest = got.where("piece is not null").select(*_NAMES)
+    return got.where("piece is null"), None if rest.isEmpty() else rest
+
+
 def reading_lines(runs: DataFrame) -> DataFrame:
     """(page, path, line, text) of every line in its region; runs a word's space apart are set apart by one."""
-    lined = _lined(_uncut(regions(runs))).where("piece = 0")
-    line = Window.partitionBy("region", "line")
-    within = line.orderBy("x", "id", "text")
-    apart = F.col("x") - F.lag("right").over(within) > WORD * F.greatest(F.max("height").over(line), F.lit(1.0))
-    spaced = F.lag("text").over(within).rlike(r"(?U)\s$") | F.col("text").rlike(r"(?U)^\s")
-    parts = lined.withColumn("_part", F.concat(F.when(apart & ~spaced, " ").otherwise(""), "text"))
-    said = parts.groupBy("page", "path", "line").agg(F.array_sort(F.collect_list(F.struct("x", "id", "text", "_part"))).alias("_p"))
-    return said.select("page", "path", "line", F.regexp_replace(F.array_join("_p._part", ""), r"(?U)\s+$", "").alias("text"))
+    got, rest = _placed(runs, False)
+    said = got.select("page", "path", "line", "said")
+    if rest is not None:
+        lined = _lined(_uncut(regions(rest))).where("piece = 0")
+        line = Window.partitionBy("region", "line")
+        within = line.orderBy("x", "id", "text")
+        apart = F.col("x") - F.lag("right").over(within) > WORD * F.greatest(F.max("height").over(line), F.lit(1.0))
+        spaced = F.lag("text").over(within).rlike(r"(?U)\s$") | F.col("text").rlike(r"(?U)^\s")
+        parts = lined.withColumn("_part", F.concat(F.when(apart & ~spaced, " ").otherwise(""), "text"))
+        more = parts.groupBy("page", "path", "line").agg(F.array_sort(F.collect_list(F.struct("x", "id", "text", "_part"))).alias("_p"))
+        said = said.unionByName(more.select("page", "path", "line", F.array_join("_p._part", "").alias("said")))
+    return said.select("page", "path", "line", F.regexp_replace("said", r"(?U)\s+$", "").alias("text"))
 
 
 def page_texts(runs: DataFrame, most: int | None = None) -> DataFrame:
@@ -210,11 +224,17 @@ def page_texts(runs: DataFrame, most: int | None = None) -> DataFrame:
 
 def tables(runs: DataFrame, min_rows: int = 2, min_columns: int = 2) -> DataFrame:
     """(page, table, row, column, text, columns, rows, occupancy) of the filled cells of every table, numbers from 0, tables in reading order; cells of a row that share a column are joined. No bound on rows or columns."""
-    marks = _with_tables(_lined(_uncut(regions(runs))), min_rows, min_columns).where("is_table")
-    glue = F.when(F.col("begins") | F.endswith("said", F.lit(" ")), "").otherwise(" ")
-    cell = marks.withColumn("_part", F.concat(glue, "words")).groupBy("page", "path", "group", "line", "cell").agg(F.array_sort(F.collect_list(F.struct(*_PLACE, "_part"))).alias("_p"), F.max("column").alias("column"), F.max("columns").alias("columns"), F.max("rows").alias("rows"), F.max("filled").alias("filled"))
-    cells = cell.withColumn("_t", F.regexp_replace(F.array_join("_p._part", ""), r"(?U)^\s+|\s+$", ""))
-    placed = cells.groupBy("page", "path", "group", "line", "column").agg(F.array_sort(F.collect_list(F.struct("cell", "_t"))).alias("_c"), *[F.max(c).alias(c) for c in ("columns", "rows", "filled")])
-    table = F.dense_rank().over(Window.partitionBy("page").orderBy("path", "group")) - 1
-    row = F.dense_rank().over(Window.partitionBy("page", "path", "group").orderBy("line")) - 1
-    return placed.select("page", table.cast("long").alias("table"), row.cast("long").alias("row"), "column", F.array_join("_c._t", " ").alias("text"), "columns", "rows", (F.col("filled") / (F.col("columns") * F.col("rows"))).alias("occupancy"))
+    got, rest = _placed(runs, True, min_rows, min_columns)
+    columns = ["page", "table", "row", "column", "columns", "rows", "filled"]
+    trimmed = lambda text: F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    filled = got.select(*columns, F.array_join(F.transform("cells", trimmed), " ").alias("text"))
+    if rest is not None:
+        marks = _with_tables(_lined(_uncut(regions(rest))), min_rows, min_columns).where("is_table")
+        glue = F.when(F.col("begins") | F.endswith("said", F.lit(" ")), "").otherwise(" ")
+        cell = marks.withColumn("_part", F.concat(glue, "words")).groupBy("page", "path", "group", "line", "cell").agg(F.array_sort(F.collect_list(F.struct(*_PLACE, "_part"))).alias("_p"), F.max("column").alias("column"), F.max("columns").alias("columns"), F.max("rows").alias("rows"), F.max("filled").alias("filled"))
+        cells = cell.withColumn("_t", trimmed(F.array_join("_p._part", "")))
+        placed = cells.groupBy("page", "path", "group", "line", "column").agg(F.array_sort(F.collect_list(F.struct("cell", "_t"))).alias("_c"), *[F.max(c).alias(c) for c in ("columns", "rows", "filled")])
+        table = F.dense_rank().over(Window.partitionBy("page").orderBy("path", "group")) - 1
+        row = F.dense_rank().over(Window.partitionBy("page", "path", "group").orderBy("line")) - 1
+        filled = filled.unionByName(placed.select("page", table.cast("long").alias("table"), row.cast("long").alias("row"), "column", "columns", "rows", "filled", F.array_join("_c._t", " ").alias("text")))
+    return filled.select("page", "table", "row", "column", "text", "columns", "rows", (F.col("filled") / (F.col("columns") * F.col("rows"))).alias("occupancy"))

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import cron
-from millrace.operators import pages
+from millrace.operators import pages, placed
 from millrace.operators.layout import carried
 from millrace.sources import ignores
 
@@ -164,6 +166,31 @@ def test_pages_at_the_edges(spark):
     assert pages.page_texts(df.limit(0)).count() == 0 and pages.tables(df).count() == 0
 
 
+def test_pages_that_are_not_held_come_by_windows(spark, monkeypatch):
+    df = spark.createDataFrame(made_pages()[::-1], RUN).where(f"page <= 14 or page = {BIG}").union(spark.createDataFrame([(1001, i, 1e307 * (i % 3), 9.0 * i, 1.0, 9.0, "far", "x") for i in range(9)], RUN))
+    held = sorted(map(tuple, pages.page_texts(df).collect())), sorted(map(tuple, pages.tables(df).collect()))
+    monkeypatch.setattr(pages, "MOST_HELD", 24)
+    sizes = [r["count"] for r in pages.pieces(df).groupBy("page").count().collect()]
+    assert min(sizes) <= 24 < max(sizes)
+    assert held == (sorted(map(tuple, pages.page_texts(df).collect())), sorted(map(tuple, pages.tables(df).collect())))
+
+
+def test_tables_of_pages_that_are_held_ask_for_no_window(spark):
+    """Each level of windows sorts all rows some ten times anew."""
+    got = pages.tables(spark.createDataFrame(made_pages(), RUN))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() > 40
+
+
+def test_parts_of_a_task_hold_whole_pages():
+    pages_of = [None] * 3 + [1] * 9 + [2] * 2 + [3] * 30 + [BIG] + [BIG + 1] * 6 + [BIG + 2] * 12
+    rows = pa.RecordBatch.from_pydict({"page": pa.array(pages_of, pa.int64()), **{k: np.arange(len(pages_of), dtype=float) for k in ("x", "y", "right", "height", "left", "end")}})
+    for size in (1, 2, 5, 100):
+        got = [(part["page"].to_pylist(), out) for part, out in placed.parts(iter([rows.slice(i, size) for i in range(0, len(pages_of), size)]), 10)]
+        assert [p for part, out in got if not out for p in part] == [p for p in pages_of if pages_of.count(p) <= 10]
+        assert [p for part, out in got if out for p in part] == [3] * 30 + [BIG + 2] * 12
+        assert all(part.count(p) == pages_of.count(p) for part, out in got if not out for p in set(part))
+
+
 def test_steps_read_only_what_they_need(spark):
     df = spark.createDataFrame([(1, 2, "b", 5.0), (1, 1, "a", None), (None, 1, "c", 1.0), (2, 3, None, 2.0)], "k long, n int, said string, v double")
     got = carried(df, "k", ["n"], lambda s, row: ((s or 0) + (row[0] or 0), (len(row), (s or 0) + (row[0] or 0))), ["n", "said", "v"], "k long, n long, said string, v double, width long, sum double", ["v"])
