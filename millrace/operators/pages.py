@@ -23,7 +23,7 @@ from .placed import ANCHOR, BLOCK, CELL, COLUMN_OVERLAP, FEWEST_LINES, FEWEST_RU
 # Pieces of a page beyond which its regions stream by in windows.
 MOST_HELD = 1 << 17
 
-_PLACE = ["x", "id", "text", "piece"]
+_PLACE = ["x", "id", "text", "piece", "y", "right", "height"]  # rows alike in all of these are the same
 _PIECE = "page long, path string, id long, y double, x double, right double, height double, text string, piece long, left double, end double, words string"
 _NAMES = [c.split()[0] for c in _PIECE.split(", ")]
 _LINES = "line long, said string"
@@ -75,8 +75,8 @@ def _with_tables(lined: DataFrame, min_rows: int = 2, min_columns: int = 2) -> D
     within = line.orderBy(*_PLACE)
     region = Window.partitionBy("region").orderBy("line", *_PLACE)
     so_far = Window.unboundedPreceding, 0
-    d = lined.withColumns({"line_y": F.max("y").over(line), "line_h": F.max("height").over(line), "first": F.row_number().over(within) == 1, "before": F.lag("end").over(within), "said": F.lag("words").over(within)})
-    d = d.withColumn("begins", F.col("before").isNull() | (F.col("piece") > 0) | (F.col("left") - F.col("before") > CELL * F.greatest("line_h", F.lit(1.0))))
+    d = lined.withColumns({"line_y": F.max("y").over(line), "line_h": F.max("height").over(line), "nth": F.row_number().over(within).cast("long"), "before": F.lag("end").over(within), "said": F.lag("words").over(within)})
+    d = d.withColumn("first", F.col("nth") == 1).withColumn("begins", F.col("before").isNull() | (F.col("piece") > 0) | (F.col("left") - F.col("before") > CELL * F.greatest("line_h", F.lit(1.0))))
     one = F.col("begins").cast("long")
     d = d.withColumns({"cell": F.sum(one).over(within.rowsBetween(*so_far)), "tabular": F.sum(one).over(line) >= 2})
     d = d.withColumn("cell_end", F.last("end").over(Window.partitionBy("region", "line", "cell").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -96,7 +96,7 @@ def _with_tables(lined: DataFrame, min_rows: int = 2, min_columns: int = 2) -> D
             number, anchor = number + 1, left
         return (number, anchor), (number, anchor)
 
-    kept = f"region string, {_PIECE.replace('left double, ', '')}, side int, half string, line long, side_line long, line_y double, line_h double, first boolean, said string, begins boolean, cell long, tabular boolean, cell_end double, group long, rows long"
+    kept = f"region string, {_PIECE.replace('left double, ', '')}, side int, half string, line long, side_line long, line_y double, line_h double, nth long, first boolean, said string, begins boolean, cell long, tabular boolean, cell_end double, group long, rows long"
     columns = ["left", "tolerance", "starts", *[c.split()[0] for c in kept.split(", ")]]
     d = carried(d, "grouped", ["left", "line", *_PLACE], step, columns, f"grouped string, left double, tolerance double, starts boolean, {kept}, cluster long, anchor double", ["left", "tolerance", "starts"])
 
@@ -204,11 +204,11 @@ def reading_lines(runs: DataFrame) -> DataFrame:
     if rest is not None:
         lined = _lined(_uncut(regions(rest))).where("piece = 0")
         line = Window.partitionBy("region", "line")
-        within = line.orderBy("x", "id", "text")
+        within = line.orderBy(*_PLACE)
         apart = F.col("x") - F.lag("right").over(within) > WORD * F.greatest(F.max("height").over(line), F.lit(1.0))
         spaced = F.lag("text").over(within).rlike(r"(?U)\s$") | F.col("text").rlike(r"(?U)^\s")
-        parts = lined.withColumn("_part", F.concat(F.when(apart & ~spaced, " ").otherwise(""), "text"))
-        more = parts.groupBy("page", "path", "line").agg(F.array_sort(F.collect_list(F.struct("x", "id", "text", "_part"))).alias("_p"))
+        parts = lined.withColumns({"_nth": F.row_number().over(within), "_part": F.concat(F.when(apart & ~spaced, " ").otherwise(""), "text")})
+        more = parts.groupBy("page", "path", "line").agg(F.array_sort(F.collect_list(F.struct("_nth", "_part"))).alias("_p"))
         said = said.unionByName(more.select("page", "path", "line", F.array_join("_p._part", "").alias("said")))
     return said.select("page", "path", "line", F.regexp_replace("said", r"(?U)\s+$", "").alias("text"))
 
@@ -231,7 +231,7 @@ def tables(runs: DataFrame, min_rows: int = 2, min_columns: int = 2) -> DataFram
     if rest is not None:
         marks = _with_tables(_lined(_uncut(regions(rest))), min_rows, min_columns).where("is_table")
         glue = F.when(F.col("begins") | F.endswith("said", F.lit(" ")), "").otherwise(" ")
-        cell = marks.withColumn("_part", F.concat(glue, "words")).groupBy("page", "path", "group", "line", "cell").agg(F.array_sort(F.collect_list(F.struct(*_PLACE, "_part"))).alias("_p"), F.max("column").alias("column"), F.max("columns").alias("columns"), F.max("rows").alias("rows"), F.max("filled").alias("filled"))
+        cell = marks.withColumn("_part", F.concat(glue, "words")).groupBy("page", "path", "group", "line", "cell").agg(F.array_sort(F.collect_list(F.struct("nth", "_part"))).alias("_p"), F.max("column").alias("column"), F.max("columns").alias("columns"), F.max("rows").alias("rows"), F.max("filled").alias("filled"))
         cells = cell.withColumn("_t", trimmed(F.array_join("_p._part", "")))
         placed = cells.groupBy("page", "path", "group", "line", "column").agg(F.array_sort(F.collect_list(F.struct("cell", "_t"))).alias("_c"), *[F.max(c).alias(c) for c in ("columns", "rows", "filled")])
         table = F.dense_rank().over(Window.partitionBy("page").orderBy("path", "group")) - 1

@@ -175,6 +175,13 @@ def test_pages_that_are_not_held_come_by_windows(spark, monkeypatch):
     assert held == (sorted(map(tuple, pages.page_texts(df).collect())), sorted(map(tuple, pages.tables(df).collect())))
 
 
+def test_repeated_runs_keep_the_space_before_them(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 0.0, 10.0, 20.0, 10.0, "a", "p")] + [(1, 2, 40.0, 10.0, 5.0, 10.0, "\x1dr", "p")] * 2, RUN)
+    assert pages.page_texts(df).first()["text"] == "a \x1dr\x1dr"
+    monkeypatch.setattr(pages, "MOST_HELD", 1)
+    assert pages.page_texts(df).first()["text"] == "a \x1dr\x1dr"
+
+
 def test_tables_of_pages_that_are_held_ask_for_no_window(spark):
     """Each level of windows sorts all rows some ten times anew."""
     got = pages.tables(spark.createDataFrame(made_pages(), RUN))
